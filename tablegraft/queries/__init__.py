@@ -1,4 +1,6 @@
 """Queries over the tables of a folder, and their DuckDB forms."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import branches, checks, measures, schemas
+
+QUERIES = branches.QUERIES | checks.QUERIES | schemas.QUERIES | measures.QUERIES
+ORACLES = branches.ORACLES | checks.ORACLES | schemas.ORACLES | measures.ORACLES
