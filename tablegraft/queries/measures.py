@@ -135,8 +135,8 @@ ORACLES = {
     "latency_percentiles": "SELECT max(n) AS n, " + ", ".join(f"max(value) FILTER (WHERE r = least(n - 1, CAST(floor({p} / 100.0 * n) AS BIGINT))) AS p{p}" for p in (50, 95, 99)) + f", max(value) AS max FROM {_R}",
     "latency_sparkline": _P99.format(f"SELECT value, least(55, i * 56 // n) AS b FROM {_I}"),
     "latency_downsample": _P99.format(f"SELECT value, i // greatest(1, n // 120) AS b FROM {_I}"),
-    "seed_violations": """SELECT * FROM (VALUES ('merchants.website null', 2000 // 100), ('accounts.email null', 20000 // 97 - 20000 // 48500), ('accounts.email twice', 20000 // 1000 - 1), ('cards.fingerprint twice', 4000 // 400 - 1),
-        ('txns.memo null', 10000 // 50), ('disputes.reason null', 5000 // 33)) v(what, n)""",
+    "seed_violations": """SELECT what, CAST(x AS BIGINT) AS n FROM (VALUES ('merchants.website null', 2000 // 100), ('accounts.email null', 20000 // 97 - 20000 // 48500), ('accounts.email twice', 20000 // 1000 - 1), ('cards.fingerprint twice', 4000 // 400 - 1),
+        ('txns.memo null', 10000 // 50), ('disputes.reason null', 5000 // 33)) v(what, x)""",
     "seed_accounts": """SELECT g AS id, 'Account ' || g AS name, CASE WHEN g % 500 = 0 THEN 'dupe_' || (g // 1000) || '@example.com' WHEN g % 97 <> 0 THEN 'user' || g || '@example.com' END AS email,
         ['US', 'GB', 'DE', 'FR', 'IN', 'BR', 'JP', 'CA'][g % 8 + 1] AS country FROM range(1, 3001) r(g)""",
     "migrate_retype": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice AS amount, o_orderstatus FROM orders",

@@ -31,7 +31,7 @@ def change(repo, ddl, name="work"):
 
 
 def values(repo, table, *columns, branch="main"):
-    return sorted(tuple(r) for r in repo.table(table, branch).select(*columns).collect())
+    return sorted((tuple(r) for r in repo.table(table, branch).select(*columns).collect()), key=lambda r: [(x is not None, x) for x in r])
 
 
 def test_init_is_idempotent(repo, tmp_path):
@@ -273,6 +273,14 @@ def test_rewinds(repo):
         repo.create_rewind(merges_back=1)
 
 
+def test_rewind_takes_back_dropped_columns_and_tables(repo):
+    before = values(repo, "txns", "id", "memo"), values(repo, "accounts", "id", "email")
+    repo.apply_merge(change(repo, "ALTER TABLE txns DROP COLUMN memo; DROP TABLE accounts"))
+    assert repo.table("txns").columns == ["id", "amount_cents"]
+    repo.apply_merge(repo.create_rewind(merges_back=1)["id"])
+    assert (values(repo, "txns", "id", "memo"), values(repo, "accounts", "id", "email")) == before
+
+
 def test_integrate(repo):
     for name, ddl in (("a", "ALTER TABLE txns ADD COLUMN one int"), ("b", "ALTER TABLE txns ADD COLUMN two int")):
         repo.create_branch(name)
