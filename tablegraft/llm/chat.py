@@ -53,23 +53,17 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     me, up = nodes.alias("me"), nodes.select("tree", F.col("node").alias("known")).alias("up")
     start = me.join(up, F.col("me.tree").eqNullSafe(F.col("up.tree")) & (F.col("me.parent") == F.col("up.known")), "left")
     now = materialise(start.select("me.tree", "me.node", F.col("known").alias("up"), F.lit(0).cast("long").alias("depth"), F.col("me.score").alias("total")).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), "jump")
-    tables = []
+    tables, nodes_in_all = [], now.count()
     while True:
-        tables.append(now.where(F.col("up").isNotNull()).select("tree", "node", "up"))
-        open_ = now.where(F.col("up").isNotNull()).count()
-        if not open_ or len(tables) > 1 and open_ == last:  # what stays open runs in a cycle
-            return tables[:-1] if not open_ else tables, now.where(F.col("up").isNull()).select("tree", "node", "depth", "total")
-        last = open_ if _settled(now) else -1
-        a, b = now.alias("a"), now.alias("b")
-        joined = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left")
-        way = F.coalesce(F.col("b.depth"), F.lit(0))
-        now = materialise(joined.select("a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.depth") + way).alias("depth"), (F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))).alias("total")), "jump")
-
-
-def _settled(now: DataFrame) -> bool:
-    """Whether a walk longer than its tree could be has happened, as on a cycle."""
-    longest = now.where(F.col("up").isNotNull()).agg(F.max("depth")).first()[0] or 0
-    return longest > now.count()
+        open_ = now.where(F.col("up").isNotNull())
+        n, longest = open_.agg(F.count("*"), F.max("depth")).first()
+        if not n or longest > nodes_in_all:  # a walk longer than all nodes runs in a cycle
+            return tables, now.where(F.col("up").isNull()).select("tree", "node", "depth", "total")
+        tables.append(open_.select("tree", "node", "up"))
+        a, b = open_.alias("a"), now.alias("b")
+        joined = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
+        further = joined.select("a.tree", "a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        now = materialise(now.where(F.col("up").isNull()).unionByName(further), "jump")
 
 
 def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -94,6 +88,7 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
 def format_paths(turns: DataFrame) -> DataFrame:
     """(tree, leaf, rank, formatted, loss array<struct<start,end>>): loss spans in code points of the formatted text."""
+    turns = turns.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text")})
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("<|nl|>"))
     turn = F.struct("position", F.concat(F.lit(OPEN), role, F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("learn"))
     together = turns.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(turn)).alias("t"))
