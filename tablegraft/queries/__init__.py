@@ -1,6 +1,7 @@
 """Queries over the tables of a folder, and their DuckDB forms."""
 
-from . import branches, checks, measures, schemas
+from . import branches, catalogs, checks, measures, schemas
 
-QUERIES = branches.QUERIES | checks.QUERIES | schemas.QUERIES | measures.QUERIES
-ORACLES = branches.ORACLES | checks.ORACLES | schemas.ORACLES | measures.ORACLES
+_PARTS = (branches, checks, schemas, catalogs, measures)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
