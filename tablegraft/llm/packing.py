@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -25,52 +26,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DistinctTable, materialise, runs, slices
+from .common import materialise, slices
 
-_WORD = re.compile("[ \n]*[^ \n]+|[ \n]+")
-#: Characters that some engine may count as white space, or not: texts with one of them are encoded whole.
-_ODD = re.compile("[%s]" % "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0, 9), (11, 31), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))))
+#: What the library's pattern and tiktoken's surely tell apart alike; texts with other characters take the library's way.
+_ODD = re.compile("[^\n\x20-\x7e\xa1-\u024f]")
+_CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 _tables: dict = {}
 
 
 class Encoder:
-    """The library's byte-level tokenizer with a table of distinct words. Its pattern never joins a character other than white
-    space with white space after it, so a text's ids are those of its parts cut there, in order."""
+    """The library's byte-level tokenizer. Texts of plain characters go through tiktoken with the same vocabulary, which merges in
+    the same order and is several times as fast; texts with others, or with an added token's string, through the library."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, longest: int = 1 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.table = DistinctTable(self._encode, limit)
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(chunks), 4096):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.batch(chunks[at : at + 4096], add_special_tokens=False)]
-        return out
+        self.tokenizer, self.longest = Tokenizer.from_file(path), longest
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Byte-level vocabularies write bytes that are no printable Latin-1 characters as the characters from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        rest = [b for b in range(256) if b not in plain]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.added}
+        self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _parts(self, text: str):
+        """A long text cut between a letter and a space before a letter, where every token ends."""
+        at = 0
+        while len(text) - at > self.longest:
+            m = _CUT.search(text, at + self.longest)
+            if not m:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [bool(t) and len(t) < 1 << 20 and not _ODD.search(t) for t in texts]
-        lists = [_WORD.findall(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        self.table.fill({c for x in lists for c in x})
+        """The ids of each text as unsigned 32-bit integers in native order."""
         out = []
-        for t, ok, words in zip(texts, plain, lists, strict=True):
-            if ok:
-                out.append(b"".join(map(self.table.__getitem__, words)))
-            elif t and not _ODD.search(t):
-                parts = []
-                for part in runs(m.group() for m in _WORD.finditer(t)):
-                    self.table.fill(part)
-                    parts.append(b"".join(map(self.table.__getitem__, part)))
-                self.table.fill({c for x in lists for c in x})
-                out.append(b"".join(parts))
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif _ODD.search(t) or any(x in t for x in self.added):
+                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+            elif len(t) <= self.longest:
+                out.append(array("I", self.fast.encode_ordinary(t)).tobytes())
             else:
-                out.append(self._encode([t])[0] if t else b"")
+                out.append(b"".join(array("I", self.fast.encode_ordinary(x)).tobytes() for x in self._parts(t)))
         return out
 
 

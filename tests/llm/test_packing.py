@@ -15,7 +15,7 @@ PATH = tokenizer("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def encoder():
-    return packing.Encoder(PATH, limit=50)
+    return packing.Encoder(PATH, longest=25)
 
 
 @settings(max_examples=150, deadline=None)
@@ -25,6 +25,11 @@ def test_ids_are_the_librarys(encoder, texts):
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_the_whole_vocabulary_agrees(encoder):
+    texts = [t for i in range(50256) if "\ufffd" not in (t := encoder.tokenizer.decode([i], skip_special_tokens=False))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def check_plan(counts, capacity, plan):
     filled, placed = defaultdict(list), defaultdict(int)
     for length, first, n, base, offset in plan.places:
