@@ -1,9 +1,8 @@
 """Operator 10: SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-Fingerprints of 64 bits are eight bytes at eight positions. Two that differ in at most b bits share at least 8 - b of them, so
-of any 8 - b + s - 1 ... positions enough agree that some posting of s positions is common: with b = 4, of the first seven
-positions at least three agree. Equal fingerprints are one from the start. The index posts each distinct fingerprint under the
-bytes at every three of seven positions; the fingerprints of a posting are compared in blocks, the shared positional bytes of
+Fingerprints of 64 bits are eight bytes at eight positions. Two that differ in at most b bits share at least 8 - b of them: with
+b = 4, at least three of the first seven positions agree. Equal fingerprints are one from the start. The index posts each
+distinct fingerprint under the bytes at every three of seven positions (every four of eight beyond 2^27 fingerprints); the fingerprints of a posting are compared in blocks, the shared positional bytes of
 each pair are tallied over all eight positions, pairs that reach the guaranteed count of four are kept, and their bits are
 compared. Within a block only the links of a spanning forest leave the task, which join the same documents as all links do.
 A posting longer than a tile is cut into tiles whose pairs are compared as rows of their own, so no posting is too long for a
@@ -50,31 +49,32 @@ def fingerprint(data: bytes, shingle: int = 4, part: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, body, fp): body is a hash of the text as it is, fp the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                got = np.array([fingerprint(x, shingle) for x in raw(part.column(1))], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            for part in slices(batch, 2):
+                got = np.array([fingerprint(x, shingle) for x in raw(part.column(2))], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got.view(np.int64))], names=["doc_id", "body", "fp"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("body", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _plan(bits: int) -> tuple[int, list[tuple[int, ...]]]:
-    """How many bytes a linked pair shares at least, and the sets of positions to post under."""
+def _plan(bits: int, n: int = 0) -> tuple[int, list[tuple[int, ...]]]:
+    """How many bytes a linked pair shares at least, and the sets of positions to post under: three bytes each, or four where n
+    fingerprints would make postings of three long. Any linked pair shares one of the sets, whichever size they have."""
     shared = 8 - bits
     if shared < 1:
         raise ValueError("at 8 or more bits no byte need be shared")
-    own = min(3, shared)
+    own = min(3 if n < 1 << 27 else 4, shared)
     return shared, list(combinations(range(8 - shared + own), own))
 
 
-def postings(distinct: DataFrame, bits: int = 4) -> DataFrame:
+def postings(distinct: DataFrame, bits: int = 4, n: int = 0) -> DataFrame:
     """(key, fp): key names the positions and holds their bytes."""
     keys = []
-    for k, positions in enumerate(_plan(bits)[1]):
+    for k, positions in enumerate(_plan(bits, n)[1]):
         mask = 0
         for p in positions:
             mask |= 0xFF << (8 * p)
@@ -119,8 +119,9 @@ def _rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def links(distinct: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     """(a, b): links between distinct fingerprints at `bits` or fewer differing bits, enough to connect what all links connect."""
-    shared, _ = _plan(bits)
-    posted = postings(distinct, bits)
+    n = distinct.count()
+    shared, _ = _plan(bits, n)
+    posted = postings(distinct, bits, n)
     sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     sizes = materialise(sizes, "postings")
     long = sizes.where(F.col("n") > tile)
@@ -183,13 +184,30 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
+    """(doc_id, body, fp, root, component_id) of every document; root names its group of fingerprints."""
     marked = materialise(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(links(distinct.select("fp"), bits))
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(by_print, "fp").select("doc_id", "body", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    out = grouped(docs, doc_id, text, shingle, bits)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
+    """docs with one row of each group: that of the smallest id, of rows without an id only where a group has no other; of
+    repeated rows one."""
+    rows = grouped(docs, doc_id, text, shingle, bits)
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("body").alias("body"))).alias("_llm_one")
+    chosen = rows.groupBy("root").agg(order).select(F.col("_llm_one.id").alias("_llm_id"), F.col("_llm_one.body").alias("_llm_of"))
+    own = docs.withColumn("_llm_body", F.xxhash64(text))
+    kept = own.join(chosen, F.col(f"`{doc_id}`").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_body") == F.col("_llm_of")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_llm_body"]).select(*[F.col(f"`{c}`") for c in docs.columns])

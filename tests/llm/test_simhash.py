@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -107,10 +108,34 @@ def test_components_of_long_chains(spark):
 
 
 def test_positions():
-    assert simhash._plan(4)[0] == 4 and len(simhash._plan(4)[1]) == 35
+    assert simhash._plan(4)[0] == 4 and len(simhash._plan(4)[1]) == 35 and len(simhash._plan(4, 1 << 30)[1]) == 70
+    for n in (0, 1 << 30):
+        for apart in combinations(range(8), 4):  # bytes that differ
+            assert any(not set(apart) & set(p) for p in simhash._plan(4, n)[1])
     with pytest.raises(ValueError):
         simhash._plan(8)
 
 
 def test_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_one_of_each_group_stays(docs, rows):
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    prints = [slow_print(t) for _, t, *_ in rows]
+    root, want = slow_components(prints), {}
+    for r, p in zip(rows, prints, strict=True):
+        key = (r[0] is None, r[0] or 0, str(r[1]))
+        if root[p] not in want or key < want[root[p]][0]:
+            want[root[p]] = (key, r)
+    assert sorted(got, key=str) == sorted((r for _, r in want.values()), key=str)
+
+
+def test_rows_without_ids(spark):
+    text = "some words that are long enough to be told apart by their shingles"
+    df = spark.createDataFrame([(None, text), (None, text), (None, "quite another text with other words in it, so it stays"), (4, text + " x"), (4, text + " x")], "doc_id long, text string")
+    prints = [slow_print(t) for t in (text, text + " x")]
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
+    apart = (prints[0] ^ prints[1]).bit_count() > 4
+    assert [t for i, t in got if i is None] == [t for t in ("quite another text with other words in it, so it stays", text) if apart or t != text]
+    assert [i for i, _ in got if i is not None] == [4]
