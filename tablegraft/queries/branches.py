@@ -51,7 +51,7 @@ def branch_rename(spark, d):
 
 def branch_retype(spark, d):
     a = branch(spark, d, "orders", "ALTER TABLE orders ALTER COLUMN o_orderdate TYPE date; ALTER TABLE orders ALTER o_custkey TYPE text; ALTER TABLE orders ALTER o_orderpriority TYPE varchar(3)")
-    return a.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return a.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderpriority")
 
 
 def branch_retype_using(spark, d):
@@ -87,7 +87,7 @@ def branch_views_sql(spark, d):
 
 def branch_own_table(spark, d):
     """A table that only the branch has: empty, with its schema."""
-    ir = parse_ddl("CREATE TABLE notes (id bigint PRIMARY KEY, body text NOT NULL, at date DEFAULT CURRENT_DATE)", SchemaIR())[1]
+    ir = parse_ddl("CREATE TABLE notes (id bigint PRIMARY KEY, body text NOT NULL, size bigint DEFAULT 0)", SchemaIR())[1]
     return overlay.overlay(ir.table("notes"), Table("notes"), spark.createDataFrame([], "id long")).where("false")
 
 
@@ -198,13 +198,13 @@ ORACLES = {
     "branch_add_default": "SELECT *, 0 AS flag, 'n/a' AS note FROM customer",
     "branch_drop": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "branch_rename": "SELECT c_custkey, c_name AS full_name, c_nationkey, c_acctbal AS balance, c_mktsegment FROM customer",
-    "branch_retype": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, left(o_orderpriority, 3) AS o_orderpriority FROM orders",
+    "branch_retype": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, left(o_orderpriority, 3) AS o_orderpriority FROM orders",
     "branch_retype_using": "SELECT p_partkey, CAST(p_size * 10 AS BIGINT) AS p_size FROM part",
     "branch_mixed_agg": "SELECT o_orderstatus, 'none' AS region, CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1, 2, 3",
     "branch_point_lookup": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice AS amount FROM orders WHERE o_orderkey = 7",
     "branch_cross_table": "SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "branch_views_sql": "SELECT n_name, c_mktsegment AS segment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
-    "branch_own_table": "SELECT CAST(0 AS BIGINT) AS id, '' AS body, DATE '2000-01-01' AS at WHERE false",
+    "branch_own_table": "SELECT CAST(0 AS BIGINT) AS id, '' AS body, CAST(0 AS BIGINT) AS size WHERE false",
     "rows_page": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25",
     "table_stats": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
     "table_bounds": "SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, count(*) AS n FROM orders",

@@ -123,7 +123,7 @@ def validate_report(spark, d):
         Op("retype_column", "part", "p_size", "pg_catalog.int8", old="pg_catalog.int4"), Op("retype_column", "nowhere", "x", "pg_catalog.int8", old="pg_catalog.int4"),
     ]
     found = probes.validate(ops, frames.get)
-    return spark.createDataFrame([(k, f.op.kind, f.op.table, f.op.target, f.blocked, f.count, f.message) for k, f in enumerate(found)], "seq long, kind string, tbl string, target string, blocked boolean, n long, message string")
+    return spark.createDataFrame([(k, f.op.kind, f.op.table, f.op.target, f.blocked, -1 if f.count is None else f.count, f.message) for k, f in enumerate(found)], "seq long, kind string, tbl string, target string, blocked boolean, n long, message string")
 
 
 _MEMO = "(SELECT *, CASE WHEN o_orderkey % 50 <> 0 THEN 'memo ' || o_orderkey END AS memo FROM orders)"
@@ -166,7 +166,7 @@ ORACLES = {
         UNION ALL SELECT 5, 'retype_column', 'part', 'p_size', count(*) FILTER (WHERE NOT regexp_matches(CAST(p_size AS VARCHAR), '^-?[0-9]+$')), 'cast', 0 FROM part
         UNION ALL SELECT 6, 'retype_column', 'part', 'p_size', NULL, 'eta', CAST(floor(count(*) / 136000.0 + 0.5) AS BIGINT) FROM part
         UNION ALL SELECT 7, 'retype_column', 'nowhere', 'x', NULL, 'eta', 0)
-        SELECT CAST(seq AS BIGINT) AS seq, kind, tbl, target, coalesce(n, 0) > 0 AS blocked, n, CASE how
+        SELECT CAST(seq AS BIGINT) AS seq, kind, tbl, target, coalesce(n, 0) > 0 AS blocked, coalesce(n, -1) AS n, CASE how
             WHEN 'nn' THEN {_SAYS.format("rows violate this", "no NULL rows")} WHEN 'len' THEN {_SAYS.format("rows exceed varchar(10)", "all values fit the new type")}
             WHEN 'chk' THEN {_SAYS.format("rows violate this", "check holds for all rows")} WHEN 'uni' THEN {_SAYS.format("duplicate keys", "values are unique")}
             WHEN 'cast' THEN {_SAYS.format("rows are not castable", "all sampled values are castable")} ELSE {_ETA} END AS message FROM c""",

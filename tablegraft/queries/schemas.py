@@ -123,15 +123,15 @@ def ddl_round(spark, d):
         ALTER TABLE txns DROP COLUMN memo""",
         BASE,
     )[1]
-    rows = [(t.name, "column", c.name, c.type, c.nullable, c.default) for t in ir.tables for c in t.columns]
+    rows = [(t.name, "column", c.name, c.type, str(c.nullable).lower(), c.default) for t in ir.tables for c in t.columns]
     rows += [(t.name, c.kind, c.name, ",".join(c.columns), None, c.expression) for t in ir.tables for c in t.constraints]
-    rows += [(t.name, "index", i.name, ",".join(i.columns), i.unique, i.predicate) for t in ir.tables for i in t.indexes]
-    return spark.createDataFrame(rows, "tbl string, kind string, name string, detail string, flag boolean, expr string")
+    rows += [(t.name, "index", i.name, ",".join(i.columns), str(i.unique).lower(), i.predicate) for t in ir.tables for i in t.indexes]
+    return spark.createDataFrame(rows, "tbl string, kind string, name string, detail string, flag string, expr string")
 
 
 def overlay_list(spark, d):
     """How each column of a branch is made."""
-    own = parse_ddl("ALTER TABLE txns RENAME memo TO note; ALTER TABLE txns ALTER amount_cents TYPE text; ALTER TABLE txns ADD COLUMN kind text DEFAULT 'card', ADD COLUMN gone date", BASE)[1].table("txns")
+    own = parse_ddl("ALTER TABLE txns RENAME memo TO note; ALTER TABLE txns ALTER amount_cents TYPE text; ALTER TABLE txns ADD COLUMN kind text DEFAULT 'card', ADD COLUMN gone varchar(9)", BASE)[1].table("txns")
     df = spark.createDataFrame([(1, 250, "a"), (2, 300, None)], "id long, amount_cents long, memo string")
     return df.select(*select_list(own, TXNS))
 
@@ -265,12 +265,12 @@ ORACLES = {
     "type_canon": _values(list(zip(_SPELLINGS, [_A + x for x in ("int8", "int4", "int4", "float8", "varchar(20)", "varchar", "bpchar(3)", "numeric(10,2)", "numeric", "timestamptz", "timestamp(3)", "bool", "text[]", "int4", "mytype", "json")], strict=True)), "spelling, canonical"),
     "coercible": _values([(*p, x) for p, x in zip(_PAIRS, (True, True, True, False, True, False, True, False, True, False, True), strict=True)], "old_type, new_type, free"),
     "ddl_round": _values([
-        ("accounts", "column", "email", _A + "text", True, None), ("accounts", "column", "id", _A + "int8", False, None),
-        ("accounts2", "column", "Odd Name", _A + "text", True, "'x'"), ("accounts2", "column", "email", _A + "varchar(80)", True, None), ("accounts2", "column", "id", _A + "int8", False, None), ("accounts2", "column", "txn", _A + "int8", True, None), ("accounts2", "column", "years", _A + "int4", False, None),
-        ("txns", "column", "amount_cents", _A + "int8", False, None), ("txns", "column", "id", _A + "int8", False, None),
+        ("accounts", "column", "email", _A + "text", "true", None), ("accounts", "column", "id", _A + "int8", "false", None),
+        ("accounts2", "column", "Odd Name", _A + "text", "true", "'x'"), ("accounts2", "column", "email", _A + "varchar(80)", "true", None), ("accounts2", "column", "id", _A + "int8", "false", None), ("accounts2", "column", "txn", _A + "int8", "true", None), ("accounts2", "column", "years", _A + "int4", "false", None),
+        ("txns", "column", "amount_cents", _A + "int8", "false", None), ("txns", "column", "id", _A + "int8", "false", None),
         ("accounts2", "check", "accounts2_age_check", "", None, "(years >= 0)"), ("accounts2", "unique", "accounts2_email_key", "email", None, None), ("accounts2", "primary", "accounts2_pkey", "id", None, None), ("accounts2", "foreign", "accounts2_txn_fkey", "txn", None, None),
-        ("txns", "primary", "txns_pkey", "id", None, None), ("accounts2", "index", "accounts2_email_idx", "email", True, "(years > 3)")], "tbl, kind, name, detail, flag, expr"),
-    "overlay_list": "SELECT CAST(id AS BIGINT) AS id, amount_cents, note, 'card' AS kind, CAST(NULL AS DATE) AS gone FROM (VALUES (1, '250', 'a'), (2, '300', NULL)) v(id, amount_cents, note)",
+        ("txns", "primary", "txns_pkey", "id", None, None), ("accounts2", "index", "accounts2_email_idx", "email", "true", "(years > 3)")], "tbl, kind, name, detail, flag, expr"),
+    "overlay_list": "SELECT CAST(id AS BIGINT) AS id, amount_cents, note, 'card' AS kind, CAST(NULL AS VARCHAR) AS gone FROM (VALUES (1, '250', 'a'), (2, '300', NULL)) v(id, amount_cents, note)",
     "plan_steps": _values([(k, *x) for k, x in enumerate([
         *[(kind, do, "txns", "REWRITE", False) for kind, do in (("expand", "expand"), ("sync", "sync"), ("backfill", "backfill"), ("ddl", "nop"), ("validate", "validate_not_null"), ("ddl", "set_nullable"), ("ddl", "nop"), ("cutover", "cutover"))], ("contract", "drop_kept", "txns", "REWRITE", True),
         *[(kind, do, "txns", "REWRITE", False) for kind, do in (("expand", "expand"), ("sync", "sync"), ("backfill", "backfill"), ("ddl", "shadow_default"), ("cutover", "cutover"))],

@@ -247,6 +247,10 @@ def test_lock_and_busy(repo):
 def test_crashed_run_can_be_applied_again(repo):
     n = change(repo, "ALTER TABLE txns ALTER amount_cents TYPE text")
     repo.runner._set(n, "running")
+    repo.store.files.create("lock", "a process that died")
+    with pytest.raises(Locked):
+        repo.apply_merge(n)
+    repo.break_lock()
     assert repo.apply_merge(n)["state"] == "merged"
     with pytest.raises(MigrationError, match="merged"):
         repo.apply_merge(n)
