@@ -101,8 +101,21 @@ def total_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long") + 16), F.lit(0))).first()[0])
 
 
-def with_block(df: DataFrame, doc_id: str, text: str, block_bytes: int, name: str = "_block") -> tuple[DataFrame, int]:
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """n block numbers that Spark's hash partitioning deals into n partitions, one each; plain numbers collide."""
+    most, found = 16 * n + 64, []
+    while len(found) < n:
+        slot = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        found = spark.range(most).groupBy(slot.alias("slot")).agg(F.min("id").cast("int").alias("label")).collect()
+        most *= 4
+    return [r.label for r in sorted(found, key=lambda r: r.slot)]
+
+
+def with_block(df: DataFrame, doc_id: str, text: str, block_bytes: int, name: str = "_block", even: int = 0) -> tuple[DataFrame, int]:
     """Deals rows into blocks of about block_bytes of text each, by a hash of id and text; the number of blocks grows with
-    the input, so a block has the same size at every scale."""
+    the input, so a block has the same size at every scale. Up to `even` blocks get numbers that hash evenly."""
     n = max(1, -(-total_bytes(df, text) // block_bytes))
-    return df.withColumn(name, F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("int")), n
+    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("int")
+    if 1 < n <= even:
+        block = F.element_at(F.array(*map(F.lit, even_labels(df.sparkSession, n))), block + 1)
+    return df.withColumn(name, block), n
