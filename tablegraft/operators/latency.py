@@ -10,12 +10,6 @@ def _nth(p: float, n: Column) -> Column:
     return F.least(n - 1, F.floor(F.lit(p) / 100 * n))
 
 
-def _ranked(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    by = Window.partitionBy(*groups) if groups else None
-    order = (by.orderBy(value) if groups else Window.orderBy(value))
-    return df.withColumn("_r", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(by) if groups else F.lit(None))
-
-
 def percentiles(df: DataFrame, value: str = "value", ps: tuple[float, ...] = (50, 95, 99)) -> DataFrame:
     """(n, p50, p95, p99, max): the value at rank min(n - 1, floor(p/100 n)); nulls are left out. Values are counted first, so
     ranks come from a running sum over distinct values and no task sorts all rows."""
@@ -41,15 +35,13 @@ def running_counts(counts: DataFrame, parts: int = 256) -> DataFrame:
 
 def by_bucket(df: DataFrame, bucket: Column, value: str, p: float = 99) -> DataFrame:
     """(bucket, value): a percentile for each bucket."""
-    ranked = _ranked(df.withColumn("bucket", bucket), value, ["bucket"])
+    by = Window.partitionBy("bucket")
+    ranked = df.withColumn("bucket", bucket).withColumns({"_r": F.row_number().over(by.orderBy(value)) - 1, "_n": F.count("*").over(by)})
     return ranked.where(F.col("_r") == _nth(p, F.col("_n"))).select("bucket", F.col(value).alias("value"))
 
 
 def with_arrival(df: DataFrame, order: list[str]) -> DataFrame:
     """_i: a row's number in arrival order, and _total; ranges are numbered by their counts, then rows within a range."""
-    keyed = df.withColumn("_range", F.spark_partition_id()) if not order else df
-    if not order:
-        raise ValueError("an arrival order is needed")
     cuts = df.select(F.percentile_approx(order[0], [k / 64 for k in range(1, 64)], 10_000).alias("_cuts"))
     keyed = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(order[0])))).drop("_cuts")
     sums = keyed.groupBy("_range").agg(F.count("*").alias("_c"))
