@@ -277,6 +277,18 @@ def test_rewinds(repo):
         repo.create_rewind(merges_back=1)
 
 
+def test_rewind_to_a_merge(repo):
+    """A merged state is the branch's commit; its columns' storage is known all the same."""
+    repo.apply_merge(change(repo, "ALTER TABLE txns RENAME memo TO note"))
+    target = repo.branches()[0]["head"]
+    before = values(repo, "txns", "id", "note")
+    repo.ddl("work", "ALTER TABLE txns RENAME note TO remark; ALTER TABLE txns ALTER amount_cents TYPE text")
+    repo.commit("work", "again")
+    repo.apply_merge(repo.create_merge("work")["id"])
+    repo.apply_merge(repo.create_rewind(commit=target)["id"])
+    assert values(repo, "txns", "id", "note") == before and repo.branches()[0]["head"] == target == hash_ir(repo.schema("main"))
+
+
 def test_rewind_takes_back_dropped_columns_and_tables(repo):
     before = values(repo, "txns", "id", "memo"), values(repo, "accounts", "id", "email")
     repo.apply_merge(change(repo, "ALTER TABLE txns DROP COLUMN memo; DROP TABLE accounts"))
