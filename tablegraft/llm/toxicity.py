@@ -209,7 +209,7 @@ class Net:
 class Scorer:
     """Applies a net to texts; each distinct word is projected once for a worker."""
 
-    def __init__(self, net: Net, limit: int = 300_000):
+    def __init__(self, net: Net, limit: int = 150_000):
         self.net, self.limit = net, limit
         self.clear()
 
