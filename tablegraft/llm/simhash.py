@@ -10,6 +10,11 @@ task and none is capped.
 
 Components come from alternating large-star and small-star rounds over the links, whose endpoints are fingerprints.
 
+Near copies at a given similarity need more bits: at 0.8 two texts differ in some nine of 64 bits, and no byte need be shared.
+For them `similar` and `keep_one` use fingerprints of 512 bits, posted under each of 32 pairs of neighbouring byte positions, and
+compare all bits of what shares a posting. At a similarity of 0.8 and more that finds some 99 % of the links on the given tables
+(the measure is statistical: the angle between fingerprints stands for the similarity).
+
 Null text counts as empty: no words, fingerprint zero, linked like any other. A null id takes part in no minimum, its row has
 the component of its fingerprint (null if no other id is reached). Repeated rows get equal rows; an empty table gives an
 empty result. Other columns than the two named are not read.
@@ -17,6 +22,7 @@ empty result. Other columns than the two named are not read.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -29,23 +35,49 @@ from pyspark.sql import types as T
 from .common import materialise, raw, slices, words
 
 SEED, TILE = 42, 2048
+WIDE = 512
+_STEPS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(data: bytes, shingle: int = 4, part: int = 1 << 16) -> int:
-    """A bit is 1 if it is set in over half the hashes of the word shingles, repeats included."""
+def _hashes(data: bytes, shingle: int, part: int):
+    """How many word shingles there are, and their hashes in parts."""
     own = words(data)
     if not own:
-        return 0
+        return 0, ()
     text, n = b" ".join(own), max(1, len(own) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
     ends = ends[-n:]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, part):
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, map(slice, starts[at : at + part].tolist(), ends[at : at + part].tolist())), repeat(SEED)), ">u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        counts += np.add.reduce(bits, axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    cut = lambda at: map(text.__getitem__, map(slice, starts[at : at + part].tolist(), ends[at : at + part].tolist()))
+    return n, (np.fromiter(map(xxhash.xxh64_intdigest, cut(at), repeat(SEED)), ">u8") for at in range(0, n, part))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows of big-endian hashes; sums of up to 255 rows fit a byte."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1)
+    return sum(np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8).astype(np.int64) for at in range(0, len(bits), 255))
+
+
+def fingerprint(data: bytes, shingle: int = 4, part: int = 1 << 16) -> int:
+    """A bit is 1 if it is set in over half the hashes of the word shingles, repeats included."""
+    n, parts = _hashes(data, shingle, part)
+    if not n:
+        return 0
+    return int.from_bytes(np.packbits(sum(map(_ones, parts)) * 2 > n).tobytes(), "big")
+
+
+def wide_fingerprint(data: bytes, shingle: int = 5, part: int = 1 << 13) -> bytes:
+    """The same with WIDE bits: each hash is stretched by mixing it with the number of the 64 bits that it gives."""
+    n, parts = _hashes(data, shingle, part)
+    if not n:
+        return bytes(WIDE // 8)
+    counts = np.zeros(WIDE, np.int64)
+    for hashes in parts:
+        x = hashes.astype(np.uint64)[:, None] + _STEPS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += _ones((x ^ (x >> np.uint64(31))).astype(">u8"))
+    return np.packbits(counts * 2 > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -202,10 +234,102 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
-    """docs with one row of each group: that of the smallest id, of rows without an id only where a group has no other; of
-    repeated rows one."""
-    rows = grouped(docs, doc_id, text, shingle, bits)
+def bits_for(similarity: float) -> int:
+    """How many of WIDE bits texts of this Jaccard similarity differ in, with 1.3 standard deviations on top: the share of bits
+    is the angle between the shingle sets over pi."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE * apart + 1.3 * math.sqrt(WIDE * apart * (1 - apart)))
+
+
+def _wide_forest(a: np.ndarray, b: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
+    """Positions (in a, then b) of links that join what all links between rows of 64-bit words join."""
+    both = a if b is None else np.concatenate([a, b])
+    root = np.arange(len(both))
+    out = []
+    for i in range(len(a)):
+        first = i + 1 if b is None else len(a)
+        x = both[first:] ^ a[i]
+        near = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.uint16) <= bits) + first
+        for k in near[root[near] != root[i]].tolist():
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                out.append((i, k))
+    return out
+
+
+def wide_links(distinct: DataFrame, bits: int, tile: int = TILE) -> DataFrame:
+    """(a, b) over (fp, wide): links between wide fingerprints at `bits` or fewer differing bits that share two bytes at
+    neighbouring positions (2k, 2k + 1), enough to connect what all such links connect."""
+    bands = WIDE // 16
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("wide", 2 * k + 1, 2)) for k in range(bands)])
+    posted = distinct.select(F.explode(keys).alias("key"), "fp", "wide")
+    sizes = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "postings")
+    words_of = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+
+    def rows(fps: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        return [(int(fps[i]), int(fps[k])) for i, k in pairs]
+
+    def run(batches):
+        key, fps, wide = None, [], []
+
+        def done() -> list[tuple[int, int]]:
+            if sum(map(len, fps)) < 2:
+                return []
+            return rows(np.concatenate(fps), _wide_forest(np.concatenate(wide), None, bits))
+
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            ids, words_ = batch.column(1).to_numpy(), words_of(batch.column(2))
+            out: list[tuple[int, int]] = []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if own[s] != key:
+                    out += done()
+                    key, fps, wide = own[s], [], []
+                fps.append(ids[s:e])
+                wide.append(words_[s:e])
+            yield _rows(out)
+        yield _rows(done())
+
+    if not sizes.take(1):
+        return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    short = posted.join(sizes, "key", "left_anti").select("key", "fp", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    dealt = posted.join(sizes, "key").withColumn("tiles", F.ceil(F.col("n") / (tile // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "wide")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, fps, wide = table.column("own").to_numpy(), table.column("fp").to_numpy(), words_of(table.column("wide"))
+        if i == j:
+            return pa.Table.from_batches([_rows(rows(fps, _wide_forest(wide, None, bits)))])
+        both = np.concatenate([fps[own == i], fps[own == j]])
+        return pa.Table.from_batches([_rows(rows(both, _wide_forest(wide[own == i], wide[own == j], bits)))])
+
+    return short.unionByName(paired.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, body, fp, root): groups of texts that wide fingerprints show to be about so similar; root names a group."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([wide_fingerprint(x, shingle) for x in raw(part.column(2))], pa.binary())], names=["doc_id", "body", "wide"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("body", T.LongType()), T.StructField("wide", T.BinaryType())])
+    made = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    marked = materialise(made.withColumn("fp", F.xxhash64("wide")), "fingerprints")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("wide").alias("wide")), "distinct")
+    found = components(wide_links(distinct, bits_for(similarity)))
+    return marked.join(found, marked.fp == found.node, "left").select("doc_id", "body", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar texts: that of the smallest id, of rows without an id only where a group has
+    no other; of repeated rows one."""
+    rows = similar(docs, doc_id, text, shingle, similarity)
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("body").alias("body"))).alias("_llm_one")
     chosen = rows.groupBy("root").agg(order).select(F.col("_llm_one.id").alias("_llm_id"), F.col("_llm_one.body").alias("_llm_of"))
     own = docs.withColumn("_llm_body", F.xxhash64(text))

@@ -120,22 +120,111 @@ def test_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_one_of_each_group_stays(docs, rows):
-    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
-    prints = [slow_print(t) for _, t, *_ in rows]
-    root, want = slow_components(prints), {}
+def slow_wide(text, k=5):
+    own = words((text or "").encode())
+    if not own:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(own[i : i + k]), 42) for i in range(max(1, len(own) - k + 1))]
+    counts, mask = [0] * simhash.WIDE, (1 << 64) - 1
+    for h in hashes:
+        for j in range(simhash.WIDE // 64):
+            x = (h + (j + 1) * 0x9E3779B97F4A7C15) & mask
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+            x ^= x >> 31
+            for b in range(64):
+                counts[64 * j + b] += x >> (63 - b) & 1
+    return sum(1 << (simhash.WIDE - 1 - b) for b, n in enumerate(counts) if 2 * n > len(hashes))
+
+
+def linked(a, b, bits):
+    x = a ^ b
+    return x.bit_count() <= bits and any(not x >> at & 0xFFFF for at in range(0, simhash.WIDE, 16))
+
+
+def slow_groups(prints, bits):
+    distinct = sorted(set(prints))
+    root = {p: p for p in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if linked(a, b, bits):
+                root[find(a)] = find(b)
+    return {p: find(p) for p in distinct}
+
+
+def kept_rows(rows, similarity=0.8):
+    """One row of each group, by brute force."""
+    cache = {}
+    prints = [cache.setdefault(t, slow_wide(t) if t not in cache else cache[t]) for _, t, *_ in rows]
+    root, want = slow_groups(prints, simhash.bits_for(similarity)), {}
     for r, p in zip(rows, prints, strict=True):
         key = (r[0] is None, r[0] or 0, str(r[1]))
         if root[p] not in want or key < want[root[p]][0]:
             want[root[p]] = (key, r)
-    assert sorted(got, key=str) == sorted((r for _, r in want.values()), key=str)
+    return sorted((r for _, r in want.values()), key=str)
+
+
+def test_wide_fingerprint():
+    text = "some words and more words of many kinds here " * 20
+    for t in (text, "one", "", "a b c d e f"):
+        assert int.from_bytes(simhash.wide_fingerprint(t.encode(), part=7), "big") == slow_wide(t)
+
+
+def test_one_of_each_group_stays(docs, rows):
+    short = [r for r in rows if len(r[1] or "") < 6000]
+    got = simhash.keep_one(docs.where("text is null or length(text) < 6000"))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == kept_rows(short)
+
+
+@pytest.mark.parametrize("tile", [2048, 6])
+def test_wide_links_join_what_brute_force_joins(spark, tile):
+    rng, prints = random.Random(4), set()
+    while len(prints) < 300:
+        p = rng.getrandbits(simhash.WIDE)
+        for _ in range(rng.choice([1, 1, 25])):
+            prints.add(p)
+            for b in rng.sample(range(simhash.WIDE), rng.randint(5, 110)):
+                p ^= 1 << b
+    prints = sorted(prints)
+    df = spark.createDataFrame([(k, p.to_bytes(simhash.WIDE // 8, "big")) for k, p in enumerate(prints)], "fp long, wide binary")
+    bits = simhash.bits_for(0.8)
+    got = [(r.a, r.b) for r in simhash.wide_links(df, bits, tile).collect()]
+    assert all(linked(prints[a], prints[b], bits) for a, b in got)
+    root, groups = slow_groups(prints, bits), {}
+    for k, p in enumerate(prints):
+        groups.setdefault(root[p], set()).add(k)
+    assert joined(got) == {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def test_texts_that_are_similar_enough_are_linked():
+    """Pairs with a Jaccard similarity of 0.8 or more on five words link, those under 0.6 don't."""
+    rng, bits, hits, n = random.Random(6), simhash.bits_for(0.8), 0, 0
+    for _ in range(300):
+        own = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        other = list(own)
+        for _ in range(max(1, int(len(own) * rng.choice([0.005, 0.01, 0.02, 0.15])))):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (own, other))
+        alike = len(a & b) / len(a | b)
+        pair = linked(*(int.from_bytes(simhash.wide_fingerprint(" ".join(x).encode()), "big") for x in (own, other)), bits)
+        if alike >= 0.8:
+            n += 1
+            hits += pair
+        elif alike < 0.6:
+            assert not pair
+    assert n > 80 and hits >= 0.95 * n
 
 
 def test_rows_without_ids(spark):
     text = "some words that are long enough to be told apart by their shingles"
     df = spark.createDataFrame([(None, text), (None, text), (None, "quite another text with other words in it, so it stays"), (4, text + " x"), (4, text + " x")], "doc_id long, text string")
-    prints = [slow_print(t) for t in (text, text + " x")]
     got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
-    apart = (prints[0] ^ prints[1]).bit_count() > 4
-    assert [t for i, t in got if i is None] == [t for t in ("quite another text with other words in it, so it stays", text) if apart or t != text]
+    alone = not linked(slow_wide(text), slow_wide(text + " x"), simhash.bits_for(0.8))
+    assert [t for i, t in got if i is None] == ["quite another text with other words in it, so it stays", *[text] * alone]
     assert [i for i, _ in got if i is not None] == [4]
