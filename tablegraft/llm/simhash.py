@@ -10,10 +10,15 @@ task and none is capped.
 
 Components come from alternating large-star and small-star rounds over the links, whose endpoints are fingerprints.
 
-Near copies at a given similarity need more bits: at 0.8 two texts differ in some nine of 64 bits, and no byte need be shared.
-For them `similar` and `keep_one` use fingerprints of 512 bits, posted under each of 32 pairs of neighbouring byte positions, and
-compare all bits of what shares a posting. At a similarity of 0.8 and more that finds some 99 % of the links on the given tables
-(the measure is statistical: the angle between fingerprints stands for the similarity).
+Near copies at a given similarity need more: at 0.8 two texts differ in some nine of 64 bits, and no byte need be shared. For them
+`verified` and `keep_verified` work on the sets of distinct shingles. Each set has BANDS x ROWS min-wise hashes; it is posted under each
+band of ROWS of them, and SKETCH of them give a positional byte each. Pairs in a posting that share too few positional bytes are
+dropped by count, all others are verified by the Jaccard similarity of their whole sets before they become links. The search is
+statistical, the verdict isn't: at a similarity of 0.8 a pair has no band in common with a probability of 5e-5, at any length.
+Pairs of texts that are joined already need no verdict: a few neighbours are verified first, then what they left apart, all of it.
+
+`similar` and `keep_one` decide by SimHash fingerprints of 512 bits alone (`wide_fingerprint`, `wide_links`). Their distance isn't
+the similarity of sets, as repeated shingles count repeatedly; nothing verifies it, and the pipeline doesn't use them.
 
 Null text counts as empty: no words, fingerprint zero, linked like any other. A null id takes part in no minimum, its row has
 the component of its fingerprint (null if no other id is reached). Repeated rows get equal rows; an empty table gives an
@@ -37,6 +42,8 @@ from .common import materialise, raw, slices, words
 SEED, TILE = 42, 2048
 WIDE = 512
 _STEPS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+BANDS, ROWS, SKETCH = 25, 5, 64
+_XOR, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
 def _hashes(data: bytes, shingle: int, part: int):
@@ -326,10 +333,176 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     return marked.join(found, marked.fp == found.node, "left").select("doc_id", "body", "fp", F.coalesce("root", "fp").alias("root"))
 
 
+def shingles(data: bytes, shingle: int = 5, part: int = 1 << 16) -> np.ndarray:
+    """Hashes of the distinct word shingles in order; none for a text without words."""
+    _, parts = _hashes(data, shingle, part)
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(x.astype(np.uint64) for x in parts)]))
+
+
+def sketch(own: np.ndarray, part: int = 1 << 11) -> tuple[bytes, bytes]:
+    """Band keys of eight bytes each, and positional bytes, from the min-wise hashes of a set."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), part):
+        least = np.minimum(least, ((own[at : at + part, None] ^ _XOR) * _TIMES).min(axis=0))
+    keys = np.zeros(BANDS, np.uint64)
+    for x in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.tobytes(), least[:SKETCH].astype(np.uint8).tobytes()
+
+
+def least_shared(similarity: float) -> int:
+    """How many of SKETCH bytes sets of this similarity share, less 4.5 standard deviations."""
+    return int(SKETCH * similarity - 4.5 * math.sqrt(SKETCH * similarity * (1 - similarity)))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of sorted arrays without repeats; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _near(marks: np.ndarray, roots: np.ndarray, split: int, least: int, fan: int | None) -> list[tuple[int, int]]:
+    """Positions of pairs with other roots that share `least` positional bytes: all, or `fan` for each row and for every row that
+    has any pair at least one. With a split, only pairs of a row before it and one from it on."""
+    n, out = len(marks), []
+    before, covered = np.full(n, -1), np.zeros(n, bool)
+    for i in range(split or n):
+        first = split or i + 1
+        near = np.flatnonzero(((marks[first:] == marks[i]).sum(axis=1) >= least) & (roots[first:] != roots[i])) + first
+        before[near] = i
+        chosen = near if fan is None else near[:fan]
+        out += [(i, k) for k in chosen.tolist()]
+        covered[chosen] = True
+        covered[i] |= len(chosen) > 0
+    return out + [(int(before[k]), k) for k in np.flatnonzero((before >= 0) & ~covered).tolist()]
+
+
+def near_pairs(rooted: DataFrame, least: int, fan: int | None, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b, over (fp, keys, mark, root): pairs of a posting as _near chooses them. Long postings are cut into tiles."""
+    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("keys", 8 * k + 1, 8)) for k in range(BANDS)])
+    posted = rooted.select(F.explode(keys).alias("key"), "fp", "root", "mark")
+    sizes = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "postings")
+
+    def rows(fps, roots, marks, split: int = 0) -> list[tuple[int, int]]:
+        if not split:
+            order = np.argsort(fps)
+            fps, roots, marks = fps[order], roots[order], marks[order]
+        found = _near(marks, roots, split, least, fan)
+        return [(min(x, y), max(x, y)) for x, y in ((int(fps[i]), int(fps[k])) for i, k in found)]
+
+    def columns(batch):
+        mark = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        return batch.column("fp").to_numpy(), batch.column("root").to_numpy(), mark
+
+    def run(batches):
+        key, held = None, []
+
+        def done() -> list[tuple[int, int]]:
+            return rows(*map(np.concatenate, zip(*held, strict=True))) if held else []
+
+        for batch in batches:
+            own = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            cols, out = columns(batch), []
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if own[s] != key:
+                    out += done()
+                    key, held = own[s], []
+                held.append(tuple(c[s:e] for c in cols))
+            yield _rows(out)
+        yield _rows(done())
+
+    kept = posted.join(sizes, "key")
+    short = kept.where(F.col("n") <= tile).select("key", "fp", "root", "mark").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    if not sizes.where(F.col("n") > tile).take(1):
+        return short.distinct()
+    tiles = F.ceil(F.col("n") / (tile // 2)).cast("int")
+    dealt = kept.where(F.col("n") > tile).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root", "mark")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        cols = columns(table)
+        if i == j:
+            return pa.Table.from_batches([_rows(rows(*cols))])
+        order = np.argsort(own, kind="stable")
+        split = int((own == i).sum())
+        return pa.Table.from_batches([_rows(rows(*(c[order] for c in cols), split) if 0 < split < len(own) else [])])
+
+    return short.unionByName(paired.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole sets are so similar."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            kept = [jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= similarity for p, q in zip(x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    one, other = sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), sets.select(F.col("fp").alias("b"), F.col("own").alias("y"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """(doc_id, body, fp, root): groups that links between texts of this Jaccard similarity of their shingle sets join; fp names a
+    set, root a group."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 2):
+                fps, keys, marks = [], [], []
+                for x in raw(part.column(2)):
+                    own = shingles(x, shingle)
+                    k, m = sketch(own)
+                    fps.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    keys.append(k)
+                    marks.append(m)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=schema.names)
+
+    def set_of(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x, shingle).tobytes() for x in raw(part.column(1))], pa.binary())], names=["fp", "own"])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)]).add("body", "long").add("fp", "long").add("keys", "binary").add("mark", "binary")
+    bodies = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).cast("string").alias("text"))
+    marked = materialise(bodies.mapInArrow(run, schema), "fingerprints")
+    distinct = materialise(marked.groupBy("fp").agg(F.min("keys").alias("keys"), F.min("mark").alias("mark"), F.min("body").alias("body")), "distinct")
+    least = least_shared(similarity)
+    tested = materialise(near_pairs(distinct.withColumn("root", F.col("fp")), least, 1, tile), "pairs")
+    # The first pairs name every text that has any: only these are looked at again, and their sets are made once.
+    paired = materialise(distinct.join(tested.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp"), "paired")
+    texts = bodies.select("body", "text").join(paired.select("fp", "body"), "body").groupBy("fp").agg(F.min("text").alias("text"))
+    sets = materialise(texts.mapInArrow(set_of, "fp long, own binary"), "sets")
+    links_ = materialise(_verified(tested, sets, similarity), "links")
+    for fan in (16, None):  # None: every pair that is still apart
+        found = components(links_)
+        rooted = paired.join(found, paired.fp == found.node, "left").select("fp", "keys", "mark", F.coalesce("root", "fp").alias("root"))
+        more = materialise(near_pairs(rooted, least, fan, tile).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if more.take(1):
+            links_ = links_.unionByName(materialise(_verified(more, sets, similarity), "links"))
+            tested = tested.unionByName(more)
+    found = components(links_)
+    return marked.join(found, marked.fp == found.node, "left").select("doc_id", "body", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of similar texts: that of the smallest id, of rows without an id only where a group has
+    """docs with one row of each group of `similar` texts, as keep_verified chooses it; the groups aren't verified."""
+    return _one_of_each(docs, similar(docs, doc_id, text, shingle, similarity), doc_id, text)
+
+
+def keep_verified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of `verified` texts: that of the smallest id, of rows without an id only where a group has
     no other; of repeated rows one."""
-    rows = similar(docs, doc_id, text, shingle, similarity)
+    return _one_of_each(docs, verified(docs, doc_id, text, shingle, similarity), doc_id, text)
+
+
+def _one_of_each(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("body").alias("body"))).alias("_llm_one")
     chosen = rows.groupBy("root").agg(order).select(F.col("_llm_one.id").alias("_llm_id"), F.col("_llm_one.body").alias("_llm_of"))
     own = docs.withColumn("_llm_body", F.xxhash64(text))

@@ -228,3 +228,39 @@ def test_rows_without_ids(spark):
     alone = not linked(slow_wide(text), slow_wide(text + " x"), simhash.bits_for(0.8))
     assert [t for i, t in got if i is None] == ["quite another text with other words in it, so it stays", *[text] * alone]
     assert [i for i, _ in got if i is not None] == [4]
+
+
+def shingle_set(text, k=5):
+    own = words((text or "").encode())
+    return {b" ".join(own[i : i + k]) for i in range(max(1, len(own) - k + 1))} if own else set()
+
+
+def similar_groups(texts, similarity=0.8):
+    """Groups of positions by the true similarity of shingle sets, by brute force."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            root[find(j)] = find(i)
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(find(i), set()).add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def found_groups(spark, texts, **kwargs):
+    groups = {}
+    for r in simhash.verified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **kwargs).collect():
+        groups.setdefault(r.root, set()).add(r.doc_id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_a_repeated_phrase_does_not_make_texts_alike(spark):
+    rng = random.Random(8)
+    texts = [" ".join(["the same five words again"] * 30 + [f"w{rng.randrange(10**6)}" for _ in range(300)]) for _ in range(12)]
+    assert found_groups(spark, texts) == {frozenset([i]) for i in range(12)}
