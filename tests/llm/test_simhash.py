@@ -264,3 +264,31 @@ def test_a_repeated_phrase_does_not_make_texts_alike(spark):
     rng = random.Random(8)
     texts = [" ".join(["the same five words again"] * 30 + [f"w{rng.randrange(10**6)}" for _ in range(300)]) for _ in range(12)]
     assert found_groups(spark, texts) == {frozenset([i]) for i in range(12)}
+
+
+@pytest.mark.parametrize("tile", [2048, 6])
+def test_verified_groups_are_those_of_true_similarity(spark, rows, tile):
+    """Ordinary and awkward texts, texts of 5 to 15 words, and many near copies of one text, by brute force."""
+    rng = random.Random(9)
+    texts = [t for _, t, *_ in rows if len(t or "") < 6000]
+    for n in range(5, 16):
+        own = [f"s{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(own), " ".join(own + ["x"]), " ".join(own[1:]), " ".join(own[:-1] + ["y"])]
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    for _ in range(40):
+        at = rng.randrange(120)
+        texts.append(" ".join(base[:at] + [f"c{rng.randrange(10**6)}"] + base[at + 1 :]))
+    assert found_groups(spark, texts, tile=tile) == similar_groups(texts)
+
+
+def test_pairs_of_just_the_similarity_are_found(spark):
+    """Pairs at 0.80 to 0.85 with 4 to 1000 shingles each link, pairs at 0.75 to 0.80 don't."""
+    rng, texts, want = random.Random(10), [], []
+    for n in (4, 5, 6, 8, 12, 40, 200, 1000):
+        for _ in range(12):
+            own = [f"t{rng.randrange(10**9)}" for _ in range(n + 4)]
+            for k, alike in ((n // 4, True), (n // 4 + 1, False)):  # k more shingles: n / (n + k)
+                fresh = [f"u{rng.randrange(10**9)}-{w}" for w in own]
+                texts += [" ".join(fresh), " ".join(fresh + [f"v{rng.randrange(10**9)}" for _ in range(k)])]
+                want += [frozenset([len(texts) - 2, len(texts) - 1])] if alike else [frozenset([len(texts) - 2]), frozenset([len(texts) - 1])]
+    assert found_groups(spark, texts) == set(want)
