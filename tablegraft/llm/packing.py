@@ -1,7 +1,8 @@
 """Operator 6: packing token sequences by linear grouping.
 
 Only lengths decide. Lengths over an eighth of the capacity are large: in falling order they form groups of equal cardinality,
-and each length counts as the largest of its group. For these few sizes, configurations that fill a sequence best are found
+and each length counts as the largest of its group. A length with as many rows as a group should have is a group of its own, so
+that no frequent length is rounded up. For these few sizes, configurations that fill a sequence best are found
 by dynamic programming, largest size first, and each is used as often as its sizes last. Actual documents then take the
 places of their group, which leaves room that is known again from their own lengths; small lengths go, largest first, where
 they leave the least room. The plan is made from a table of counts by length, whose size doesn't depend on the data; a row
@@ -167,7 +168,7 @@ class Plan:
         total, size_of, members, done = sum(counts.values()), [], [], 0
         for length in lengths:  # a length is in one group only
             k = done * groups // max(1, total)
-            if not members or k != last:
+            if not members or k != last or counts[length] * groups >= total:
                 size_of.append(length)
                 members.append([])
                 last = k

@@ -87,3 +87,24 @@ def test_ids_column_and_empty(spark, docs, no_docs):
     rows = packing.pieces(docs, PATH, with_ids=True).collect()
     assert all(len(r.ids) == r.length for r in rows)
     assert packing.pack_documents(no_docs, PATH).count() == 0
+
+
+@pytest.mark.parametrize("hot", [512, 341, 256])
+def test_a_hot_length_below_a_rare_longer_one_is_not_rounded_up(hot):
+    counts = {hot + 1: 1, hot: 1_000_000}
+    plan = packing.Plan(counts, 1024)
+    assert plan.sequences <= 1 + -(-1_000_000 // (1024 // hot))
+    assert sum(n for _, _, n, _, _ in plan.places) == 1_000_001
+
+
+def test_hot_lengths_among_many_others():
+    rng = random.Random(2)
+    counts = defaultdict(int)
+    for _ in range(20000):
+        counts[min(1024, max(129, int(rng.lognormvariate(5.8, 0.9))))] += 1
+    for hot in (512, 341):
+        counts[hot] += 10000
+        counts[hot + 1] = 1
+    plan = packing.Plan(counts, 1024)
+    check_plan(counts, 1024, plan)
+    assert plan.sequences <= 1.02 * -(-sum(k * v for k, v in counts.items()) // 1024)
