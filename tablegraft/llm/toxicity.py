@@ -58,11 +58,12 @@ class Words(dict):
 
 
 def _join(docs: list[list[bytes]], index: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts, each followed by as many zeros as the widest filter needs, and where each starts."""
+    """Word numbers of all texts (one zero for a text without words), each followed by as many zeros as the widest filter needs,
+    and where each starts."""
     pad = [0] * (max(WIDTHS) - 1) or [0]
     out, starts, at = [], [], 0
     for words in docs:
-        ids = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+        ids = np.fromiter(map(index.__getitem__, words), np.int32, len(words)) if words else np.zeros(1, np.int32)
         out += [ids, np.array(pad, np.int32)]
         starts.append(at)
         at += len(ids) + len(pad)
@@ -126,6 +127,7 @@ class Net:
         m, v = ({k: np.zeros_like(p) for k, p in params.items()} for _ in range(2))
         squares = [np.full(len(t), 1e-3, np.float32) for t in self.tables]
         pad, step = np.zeros(max(WIDTHS) - 1, np.int32), 0
+        docs = [x if len(x) else np.zeros(1, np.int32) for x in docs]
         for epoch in range(epochs):
             order = rng.permutation(len(docs))
             for at in range(0, len(order), batch):
@@ -135,7 +137,7 @@ class Net:
                 x = self.embed(rows[ids])
                 x[ids == 0] = 0
                 r = self.responses(self.project(x))
-                best = np.stack([a + r[a:b].argmax(axis=0) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+                best = np.stack([a + r[a : b - len(pad)].argmax(axis=0) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
                 top = np.take_along_axis(r, best, axis=0)
                 hidden = np.maximum(top + self.bias, 0)
                 p = 1 / (1 + np.exp(-(hidden @ self.out + self.shift).clip(-30, 30)))
@@ -247,7 +249,8 @@ class Scorer:
             if len(own) > 1 << 18:
                 got = self._long(own)
             else:
-                got = np.maximum.reduceat(self.net.responses(self.parts[own]), first, axis=0)
+                last = np.array(ends[at:to]) - starts[at] - (max(WIDTHS) - 1)  # no response begins at a zero after the text
+                got = np.maximum.reduceat(self.net.responses(self.parts[own]), np.stack([first, last], axis=1).reshape(-1), axis=0)[::2]
             top.append(got)
             for a, b in zip(starts[at:to], ends[at:to], strict=True):
                 n = np.bincount(self.langs[ids[a:b]], minlength=len(FUNCTION_WORDS) + 1)[1:]
@@ -258,7 +261,8 @@ class Scorer:
     def _long(self, own: np.ndarray) -> np.ndarray:
         """One long text, in windows that overlap by the widest filter."""
         step, over = 1 << 17, max(WIDTHS) - 1
-        return np.max([self.net.responses(self.parts[own[a : a + step + over]])[: max(1, min(step, len(own) - a))].max(axis=0) for a in range(0, len(own), step)], axis=0)[None]
+        n = len(own) - over  # no response begins at the zeros after the text
+        return np.max([self.net.responses(self.parts[own[a : a + step + over]])[: min(step, n - a)].max(axis=0) for a in range(0, n, step)], axis=0)[None]
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_chars: int = 1 << 20) -> pa.Table:

@@ -68,3 +68,13 @@ def test_long_texts_in_windows():
     ids, _ = toxicity._join([[w.encode() for w in words]], scorer.index)
     whole = net.logits(net.responses(scorer.parts[ids]).max(axis=0)[None])[0]
     assert abs(long - whole) < 1e-3
+
+
+def test_neighbours_do_not_change_a_score():
+    net, rng = toxicity.Net(), np.random.default_rng(2)
+    for t in net.tables:
+        t[:] = rng.normal(0, 1, t.shape)
+    texts = [b"", b"a quiet text", b"one", b"", b"idiot moron idiot", b"two words", b"  ", b"moron", b" ".join(b"w%d" % k for k in rng.integers(0, 900, 300_000)), b"idiot"]
+    alone = [toxicity.Scorer(net).logits([t])[0][0] for t in texts]
+    assert np.allclose(toxicity.Scorer(net).logits(texts)[0], alone, atol=1e-4)
+    assert np.allclose(toxicity.Scorer(net).logits(texts[::-1])[0], alone[::-1], atol=1e-4)
