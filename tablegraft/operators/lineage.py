@@ -31,9 +31,15 @@ def ancestors(commits: DataFrame, head: str, limit: int = LIMIT) -> DataFrame:
     return rows
 
 
+def _whole(commits: DataFrame) -> int:
+    """A limit that no chain reaches."""
+    return commits.count() + 1
+
+
 def common_ancestor(commits: DataFrame, left: str, right: str) -> DataFrame:
-    """(id) of the first ancestor of right that is one of left's; no row if there is none."""
-    a, b = ancestors(commits, left).select("id"), ancestors(commits, right)
+    """(id) of the first ancestor of right that is one of left's, however deep; no row if there is none."""
+    limit = _whole(commits)
+    a, b = ancestors(commits, left, limit).select("id"), ancestors(commits, right, limit)
     return b.join(a, "id", "left_semi").orderBy("depth").limit(1).select("id")
 
 
@@ -53,8 +59,8 @@ def dependents(edges: DataFrame, root: str) -> DataFrame:
 
 
 def prunable(commits: DataFrame, keep: str) -> DataFrame:
-    """(id) of commits that are neither `keep` nor one of its ancestors."""
-    return commits.select("id").join(ancestors(commits, keep).select("id"), "id", "left_anti")
+    """(id) of commits that are neither `keep` nor one of its ancestors, however deep."""
+    return commits.select("id").join(ancestors(commits, keep, _whole(commits)).select("id"), "id", "left_anti")
 
 
 def seed_commit(spark: SparkSession, commits: DataFrame, seed_tables: list[str]) -> DataFrame:
