@@ -36,6 +36,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: Iterable[str], *stems: str) -> list[str]:
+    """Column names like the given ones that none of `taken` is, whatever its case."""
+    low, out = {c.lower() for c in taken}, []
+    for s in stems:
+        while any(x.startswith(s.lower()) for x in low):
+            s += "_"
+        low.add(s.lower())
+        out.append(s)
+    return out
+
+
+def col(name: str):
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def bloom(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 28) -> DataFrame:
+    """rows whose `key` (a hash) may be one of wanted's. The filter is a bitmap of eight bits for each wanted key, of `most_bits` at
+    most, which tasks make and the driver only passes on: beyond that size it lets more rows through, never fewer."""
+    spark = rows.sparkSession
+    bits = 1 << max(16, min(most_bits.bit_length() - 1, (8 * max(1, wanted.count())).bit_length()))
+    place = F.pmod(F.col(key), F.lit(bits))
+    words_ = wanted.where(F.col(key).isNotNull()).select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(`{key}`, 64) as int))").alias("bit"))
+    got = words_.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    map_ = np.zeros(bits >> 6, np.int64)
+    map_[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(map_)
+
+    def held(column: pa.Array) -> pa.Array:
+        x = column.to_numpy(zero_copy_only=False) % bits
+        return pa.array(shared.value[x >> 6] >> (x & 63) & 1 == 1)
+
+    return rows.where(F.arrow_udf(held, "boolean")(F.col(key)))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's decimal text, modulo n; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

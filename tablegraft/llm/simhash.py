@@ -2,23 +2,25 @@
 
 Fingerprints of 64 bits are eight bytes at eight positions. Two that differ in at most b bits share at least 8 - b of them: with
 b = 4, at least three of the first seven positions agree. Equal fingerprints are one from the start. The index posts each
-distinct fingerprint under the bytes at every three of seven positions (every four of eight beyond 2^27 fingerprints); the fingerprints of a posting are compared in blocks, the shared positional bytes of
-each pair are tallied over all eight positions, pairs that reach the guaranteed count of four are kept, and their bits are
-compared. Within a block only the links of a spanning forest leave the task, which join the same documents as all links do.
+distinct fingerprint under the bytes at every three of seven positions (every four of eight beyond 2^27 fingerprints); the
+fingerprints of a posting are compared in blocks, the shared positional bytes of each pair are tallied over all eight positions,
+pairs that reach the guaranteed count of four are kept, and their bits are compared. Within a block only the links of a spanning forest leave the task, which join the same documents as all links do.
 A posting longer than a tile is cut into tiles whose pairs are compared as rows of their own, so no posting is too long for a
 task and none is capped.
 
 Components come from alternating large-star and small-star rounds over the links, whose endpoints are fingerprints.
 
-Near copies at a given similarity need more: at 0.8 two texts differ in some nine of 64 bits, and no byte need be shared. For them
-`verified` and `keep_verified` work on the sets of distinct shingles. Each set has BANDS x ROWS min-wise hashes; it is posted under each
-band of ROWS of them, and SKETCH of them give a positional byte each. Pairs in a posting that share too few positional bytes are
-dropped by count, all others are verified by the Jaccard similarity of their whole sets before they become links. The search is
-statistical, the verdict isn't: at a similarity of 0.8 a pair has no band in common with a probability of 5e-5, at any length.
-Pairs of texts that are joined already need no verdict: a few neighbours are verified first, then what they left apart, all of it.
+Near copies at a given similarity need more: at 0.8 two texts differ in some nine of 64 bits, so no byte need be shared, and bits
+that count repeated shingles repeatedly aren't the similarity of sets. `verified` and `keep_verified` therefore take the bytes of
+the positional index from min-wise hashes of the sets of distinct shingles: BANDS x ROWS of them, posted under each band of ROWS,
+and SKETCH of them as positional bytes whose agreement is tallied. Pairs in a posting that share fewer bytes than `least_shared`
+are dropped by count, all others are decided by the Jaccard similarity of their whole sets. The search is statistical, the verdict
+isn't: at a similarity of 0.8 a pair has no band in common with a probability of 5e-5, at any length.
 
-`similar` and `keep_one` decide by SimHash fingerprints of 512 bits alone (`wide_fingerprint`, `wide_links`). Their distance isn't
-the similarity of sets, as repeated shingles count repeatedly; nothing verifies it, and the pipeline doesn't use them.
+Postings hold ids; sets are made only of texts that share a posting. Each of these is first verified against two partners, the one
+it shares most bytes with and the one that all share most with, which joins large groups by few pairs. Pairs that this leaves in
+different groups are then verified all, in tasks that hold the sets of a posting's texts: each pair in the first posting it shares,
+so that pairs never become rows. A posting too large for a task is cut into tiles, but pairs within its largest group need none.
 
 Null text counts as empty: no words, fingerprint zero, linked like any other. A null id takes part in no minimum, its row has
 the component of its fingerprint (null if no other id is reached). Repeated rows get equal rows; an empty table gives an
@@ -37,11 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, raw, slices, words
+from .common import bloom, col, fresh, materialise, raw, slices, words
 
 SEED, TILE = 42, 2048
-WIDE = 512
-_STEPS = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 BANDS, ROWS, SKETCH = 25, 5, 64
 _XOR, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
@@ -73,20 +73,6 @@ def fingerprint(data: bytes, shingle: int = 4, part: int = 1 << 16) -> int:
     return int.from_bytes(np.packbits(sum(map(_ones, parts)) * 2 > n).tobytes(), "big")
 
 
-def wide_fingerprint(data: bytes, shingle: int = 5, part: int = 1 << 13) -> bytes:
-    """The same with WIDE bits: each hash is stretched by mixing it with the number of the 64 bits that it gives."""
-    n, parts = _hashes(data, shingle, part)
-    if not n:
-        return bytes(WIDE // 8)
-    counts = np.zeros(WIDE, np.int64)
-    for hashes in parts:
-        x = hashes.astype(np.uint64)[:, None] + _STEPS
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        counts += _ones((x ^ (x >> np.uint64(31))).astype(">u8"))
-    return np.packbits(counts * 2 > n).tobytes()
-
-
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, body, fp): body is a hash of the text as it is, fp the fingerprint as a signed long."""
 
@@ -241,98 +227,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bits_for(similarity: float) -> int:
-    """How many of WIDE bits texts of this Jaccard similarity differ in, with 1.3 standard deviations on top: the share of bits
-    is the angle between the shingle sets over pi."""
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * apart + 1.3 * math.sqrt(WIDE * apart * (1 - apart)))
-
-
-def _wide_forest(a: np.ndarray, b: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
-    """Positions (in a, then b) of links that join what all links between rows of 64-bit words join."""
-    both = a if b is None else np.concatenate([a, b])
-    root = np.arange(len(both))
-    out = []
-    for i in range(len(a)):
-        first = i + 1 if b is None else len(a)
-        x = both[first:] ^ a[i]
-        near = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.uint16) <= bits) + first
-        for k in near[root[near] != root[i]].tolist():
-            if root[k] != root[i]:
-                root[root == root[k]] = root[i]
-                out.append((i, k))
-    return out
-
-
-def wide_links(distinct: DataFrame, bits: int, tile: int = TILE) -> DataFrame:
-    """(a, b) over (fp, wide): links between wide fingerprints at `bits` or fewer differing bits that share two bytes at
-    neighbouring positions (2k, 2k + 1), enough to connect what all such links connect."""
-    bands = WIDE // 16
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("wide", 2 * k + 1, 2)) for k in range(bands)])
-    posted = distinct.select(F.explode(keys).alias("key"), "fp", "wide")
-    sizes = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile), "postings")
-    words_of = lambda column: np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WIDE // 64)
-
-    def rows(fps: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        return [(int(fps[i]), int(fps[k])) for i, k in pairs]
-
-    def run(batches):
-        key, fps, wide = None, [], []
-
-        def done() -> list[tuple[int, int]]:
-            if sum(map(len, fps)) < 2:
-                return []
-            return rows(np.concatenate(fps), _wide_forest(np.concatenate(wide), None, bits))
-
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-            ids, words_ = batch.column(1).to_numpy(), words_of(batch.column(2))
-            out: list[tuple[int, int]] = []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if own[s] != key:
-                    out += done()
-                    key, fps, wide = own[s], [], []
-                fps.append(ids[s:e])
-                wide.append(words_[s:e])
-            yield _rows(out)
-        yield _rows(done())
-
-    if not sizes.take(1):
-        return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
-    short = posted.join(sizes, "key", "left_anti").select("key", "fp", "wide").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    dealt = posted.join(sizes, "key").withColumn("tiles", F.ceil(F.col("n") / (tile // 2)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "wide")
-
-    def compare(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, fps, wide = table.column("own").to_numpy(), table.column("fp").to_numpy(), words_of(table.column("wide"))
-        if i == j:
-            return pa.Table.from_batches([_rows(rows(fps, _wide_forest(wide, None, bits)))])
-        both = np.concatenate([fps[own == i], fps[own == j]])
-        return pa.Table.from_batches([_rows(rows(both, _wide_forest(wide[own == i], wide[own == j], bits)))])
-
-    return short.unionByName(paired.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
-
-
-def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, body, fp, root): groups of texts that wide fingerprints show to be about so similar; root names a group."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 2):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([wide_fingerprint(x, shingle) for x in raw(part.column(2))], pa.binary())], names=["doc_id", "body", "wide"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("body", T.LongType()), T.StructField("wide", T.BinaryType())])
-    made = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
-    marked = materialise(made.withColumn("fp", F.xxhash64("wide")), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("wide").alias("wide")), "distinct")
-    found = components(wide_links(distinct, bits_for(similarity)))
-    return marked.join(found, marked.fp == found.node, "left").select("doc_id", "body", "fp", F.coalesce("root", "fp").alias("root"))
-
-
 def shingles(data: bytes, shingle: int = 5, part: int = 1 << 16) -> np.ndarray:
     """Hashes of the distinct word shingles in order; none for a text without words."""
     _, parts = _hashes(data, shingle, part)
@@ -362,77 +256,126 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _near(marks: np.ndarray, roots: np.ndarray, split: int, least: int, fan: int | None) -> list[tuple[int, int]]:
-    """Positions of pairs with other roots that share `least` positional bytes: all, or `fan` for each row and for every row that
-    has any pair at least one. With a split, only pairs of a row before it and one from it on."""
-    n, out = len(marks), []
-    before, covered = np.full(n, -1), np.zeros(n, bool)
-    for i in range(split or n):
-        first = split or i + 1
-        near = np.flatnonzero(((marks[first:] == marks[i]).sum(axis=1) >= least) & (roots[first:] != roots[i])) + first
-        before[near] = i
-        chosen = near if fan is None else near[:fan]
-        out += [(i, k) for k in chosen.tolist()]
-        covered[chosen] = True
-        covered[i] |= len(chosen) > 0
-    return out + [(int(before[k]), k) for k in np.flatnonzero((before >= 0) & ~covered).tolist()]
-
-
-def near_pairs(rooted: DataFrame, least: int, fan: int | None, tile: int = TILE) -> DataFrame:
-    """(a, b), a < b, over (fp, keys, mark, root): pairs of a posting as _near chooses them. Long postings are cut into tiles."""
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("keys", 8 * k + 1, 8)) for k in range(BANDS)])
-    posted = rooted.select(F.explode(keys).alias("key"), "fp", "root", "mark")
-    sizes = materialise(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "postings")
-
-    def rows(fps, roots, marks, split: int = 0) -> list[tuple[int, int]]:
-        if not split:
-            order = np.argsort(fps)
-            fps, roots, marks = fps[order], roots[order], marks[order]
-        found = _near(marks, roots, split, least, fan)
-        return [(min(x, y), max(x, y)) for x, y in ((int(fps[i]), int(fps[k])) for i, k in found)]
-
-    def columns(batch):
-        mark = np.frombuffer(b"".join(batch.column("mark").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        return batch.column("fp").to_numpy(), batch.column("root").to_numpy(), mark
-
-    def run(batches):
-        key, held = None, []
-
-        def done() -> list[tuple[int, int]]:
-            return rows(*map(np.concatenate, zip(*held, strict=True))) if held else []
-
-        for batch in batches:
-            own = batch.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-            cols, out = columns(batch), []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if own[s] != key:
-                    out += done()
-                    key, held = own[s], []
-                held.append(tuple(c[s:e] for c in cols))
-            yield _rows(out)
-        yield _rows(done())
-
-    kept = posted.join(sizes, "key")
-    short = kept.where(F.col("n") <= tile).select("key", "fp", "root", "mark").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    if not sizes.where(F.col("n") > tile).take(1):
-        return short.distinct()
-    tiles = F.ceil(F.col("n") / (tile // 2)).cast("int")
-    dealt = kept.where(F.col("n") > tile).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "root", "mark")
-
-    def compare(table: pa.Table) -> pa.Table:
-        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        cols = columns(table)
-        if i == j:
-            return pa.Table.from_batches([_rows(rows(*cols))])
-        order = np.argsort(own, kind="stable")
-        split = int((own == i).sum())
-        return pa.Table.from_batches([_rows(rows(*(c[order] for c in cols), split) if 0 < split < len(own) else [])])
-
-    return short.unionByName(paired.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).distinct()
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether sets are so similar; sizes alone often tell."""
+    few, many = sorted((len(a), len(b)))
+    return few >= similarity * many - 1e-9 and jaccard(a, b) >= similarity
+
+
+def _matrix(column, width: int, kind=np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _partners(fps: np.ndarray, marks: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """(fp, partner, shared, hub): of each row the row that it shares most positional bytes with, and the row that all rows share
+    most with, where they share `least` of them."""
+    n = len(fps)
+    order = np.argsort(fps)
+    fps, marks = fps[order], marks[order]
+    best, top, total = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
+    for i in range(n):
+        tally = (marks == marks[i]).sum(axis=1)
+        tally[i] = -1
+        best[i], top[i] = (k := int(tally.argmax())), tally[k]
+        total[i] = tally[tally >= least].sum()
+    hub = int(total.argmax())
+    shared = (marks == marks[hub]).sum(axis=1)
+    out = [(int(fps[i]), int(fps[best[i]]), int(top[i]), 0) for i in np.flatnonzero(top >= least)]
+    return out + [(int(fps[i]), int(fps[hub]), int(shared[i]), 1) for i in np.flatnonzero(shared >= least) if i != hub]
+
+
+def first_pairs(posted: DataFrame, members: DataFrame, least: int, tile: int = TILE) -> DataFrame:
+    """(fp, partner, hub): for each text of a posting (band, key, fp, n) at most one partner and one hub. Postings longer than a tile
+    are looked at in parts, so a better partner may be missed; nothing is decided here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _partners(table.column("fp").to_numpy(), _matrix(table.column("mark"), SKETCH), least)
+        cols = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("fp", "partner", "shared", "hub"), cols, strict=True)})
+
+    parts = F.ceil(F.col("n") / tile)
+    dealt = posted.withColumn("part", F.pmod(F.xxhash64("fp"), parts).cast("int")).join(members.select("fp", "mark"), "fp").select("key", "part", "fp", "mark")
+    found = dealt.groupBy("key", "part").applyInArrow(run, "fp long, partner long, shared long, hub long")
+    return found.groupBy("fp", "hub").agg(F.max_by("partner", F.struct("shared", "partner")).alias("partner")).select("fp", "partner", "hub")
+
+
+def _deal(rows: DataFrame, tile: int, most_bytes: int) -> DataFrame:
+    """Adds (i, j, side) to rows (key, fp, root, weight): the tasks that a row goes to, so that every two rows of a key with different
+    roots meet in one. A key that one task can hold is one task, (0, 0). A larger one is cut into tiles, first those of rows
+    outside its largest root, then those of its largest root, which need not meet each other."""
+    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    sizes = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max(F.struct("n", "root", "w")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    count = lambda n, w: F.greatest(F.lit(1), F.ceil(n / (tile // 2)), F.ceil(w / (most_bytes // 2))).cast("int")
+    sizes = sizes.where(F.col("n") > F.col("most.n")).select(
+        "key", "major", ((F.col("n") > tile) | (F.col("w") > most_bytes)).alias("long"),
+        count(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("few"), count(F.col("most.n"), F.col("most.w")).alias("many"),
+    )
+    mixed = rows.join(sizes, "key").withColumn("mine", F.col("root") == F.col("major"))
+    own = F.pmod(F.xxhash64("fp"), F.when(F.col("mine"), F.col("many")).otherwise(F.col("few"))).cast("int")
+    side = F.when(F.col("mine"), F.col("few") + own).otherwise(own)
+    others = lambda n, make: F.transform(F.sequence(F.lit(0), n - 1), make)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    across = others(F.col("few"), lambda o: pair(o, F.col("side")))
+    among = others(F.col("few"), lambda o: pair(F.least(o, F.col("side")), F.greatest(o, F.col("side"))))
+    outward = others(F.col("many"), lambda o: pair(F.col("side"), F.col("few") + o))
+    tasks = F.when(~F.col("long"), F.array(pair(F.lit(0), F.lit(0)))).when(F.col("mine"), across).otherwise(F.concat(among, outward))
+    out = mixed.withColumn("side", F.when(F.col("long"), side).otherwise(0)).withColumn("task", F.explode(tasks))
+    return out.select(*rows.columns, "side", F.col("task.i").alias("i"), F.col("task.j").alias("j"))
+
+
+def _untested(table: pa.Table, least: int):
+    """Positions of pairs that are to be verified here: in different groups, sharing `least` positional bytes, not yet tested, and
+    sharing no posting of an earlier band."""
+    fps, roots, side = (table.column(c).to_numpy() for c in ("fp", "root", "side"))
+    marks, keys = _matrix(table.column("mark"), SKETCH), _matrix(table.column("keys"), BANDS, np.uint64)
+    done, band, i_, j_ = [table.column(c).to_numpy() for c in ("least_tested", "most_tested")], *(table.column(c)[0].as_py() for c in ("band", "i", "j"))
+    rows, others = (np.flatnonzero(side == x) for x in (i_, j_))
+    for at, i in enumerate(rows):
+        near = others if i_ != j_ else others[at + 1 :]
+        near = near[roots[near] != roots[i]]
+        near = near[(marks[near] == marks[i]).sum(axis=1) >= least]
+        near = near[~(keys[near, :band] == keys[i, :band]).any(axis=1)]
+        for t in done:
+            near = near[(t[near] != fps[i]) & (fps[near] != t[i])]
+        if len(near):
+            yield int(i), near.tolist()
+
+
+def apart_pairs(posted: DataFrame, members: DataFrame, sets: DataFrame, least: int, similarity: float, tile: int = TILE, most_bytes: int = 16 << 20) -> DataFrame:
+    """(a, b): links between texts of different roots that share a posting, enough to join what all such links join. members are
+    (fp, root, mark, keys, least_tested, most_tested)."""
+    rooted = posted.join(members.select("fp", "root"), "fp")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    rows = rooted.join(mixed, "key").select("band", "key", "fp", "root").join(members.drop("root"), "fp")
+
+    def ask(table: pa.Table) -> pa.Table:
+        asked = {k for i, near in _untested(table, least) for k in (i, *near)}
+        return table.select(["band", "key", "fp"]).take(pa.array(sorted(asked), pa.int64()))
+
+    def verify(table: pa.Table) -> pa.Table:
+        fps, roots = table.column("fp").to_numpy(), table.column("root").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()]
+        root = {r: r for r in roots.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i, near in _untested(table, least):
+            for k in near:
+                s, t = find(int(roots[i])), find(int(roots[k]))
+                if s != t and alike(own[i], own[k], similarity):
+                    root[t] = s
+                    out.append((int(fps[i]), int(fps[k])))
+        return pa.Table.from_batches([_rows(out)])
+
+    dealt = _deal(rows.withColumn("weight", F.lit(SKETCH + 8 * BANDS)), tile, 1 << 40)
+    asked = materialise(dealt.groupBy("key", "i", "j").applyInArrow(ask, "band int, key long, fp long").distinct(), "asked")
+    held = asked.join(members, "fp").join(sets.select("fp", "own", F.octet_length("own").alias("weight")), "fp")
+    return _deal(held, tile, most_bytes).groupBy("key", "i", "j").applyInArrow(verify, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -441,14 +384,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     def run(batches):
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            kept = [jaccard(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) >= similarity for p, q in zip(x, y, strict=True)]
+            kept = [alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), similarity) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     one, other = sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), sets.select(F.col("fp").alias("b"), F.col("own").alias("y"))
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+def verified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tile: int = TILE, most_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, body, fp, root): groups that links between texts of this Jaccard similarity of their shingle sets join; fp names a
     set, root a group."""
 
@@ -470,41 +413,37 @@ def verified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x, shingle).tobytes() for x in raw(part.column(1))], pa.binary())], names=["fp", "own"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)]).add("body", "long").add("fp", "long").add("keys", "binary").add("mark", "binary")
-    bodies = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("body"), F.col(text).cast("string").alias("text"))
+    bodies = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("body"), col(text).cast("string").alias("text"))
     marked = materialise(bodies.mapInArrow(run, schema), "fingerprints")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("keys").alias("keys"), F.min("mark").alias("mark"), F.min("body").alias("body")), "distinct")
+    distinct = marked.groupBy("fp").agg(F.min("keys").alias("keys"), F.min("mark").alias("mark"), F.min("body").alias("body"))
+    distinct = materialise(distinct, "distinct")
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("keys", 8 * k + 1, 8)) for k in range(BANDS)])
+    postings_ = distinct.select("fp", F.posexplode(bands).alias("band", "key"))
+    sizes = postings_.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    posted = materialise(postings_.join(materialise(sizes, "sizes"), "key"), "postings")
+    members = materialise(distinct.join(posted.select("fp").distinct(), "fp"), "members")
+    texts = bloom(bodies.select("body", "text"), members.select("body"), "body").groupBy("body").agg(F.min("text").alias("text"))
+    sets = materialise(texts.join(members.select("fp", "body"), "body").select("fp", "text").mapInArrow(set_of, "fp long, own binary"), "sets")
     least = least_shared(similarity)
-    tested = materialise(near_pairs(distinct.withColumn("root", F.col("fp")), least, 1, tile), "pairs")
-    # The first pairs name every text that has any: only these are looked at again, and their sets are made once.
-    paired = materialise(distinct.join(tested.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp"), "paired")
-    texts = bodies.select("body", "text").join(paired.select("fp", "body"), "body").groupBy("fp").agg(F.min("text").alias("text"))
-    sets = materialise(texts.mapInArrow(set_of, "fp long, own binary"), "sets")
-    links_ = materialise(_verified(tested, sets, similarity), "links")
-    for fan in (16, None):  # None: every pair that is still apart
-        found = components(links_)
-        rooted = paired.join(found, paired.fp == found.node, "left").select("fp", "keys", "mark", F.coalesce("root", "fp").alias("root"))
-        more = materialise(near_pairs(rooted, least, fan, tile).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.take(1):
-            links_ = links_.unionByName(materialise(_verified(more, sets, similarity), "links"))
-            tested = tested.unionByName(more)
+    first = materialise(first_pairs(posted, members, least, tile), "pairs")
+    pairs = first.select(F.least("fp", "partner").alias("a"), F.greatest("fp", "partner").alias("b")).distinct()
+    links_ = materialise(_verified(pairs, sets, similarity), "links")
     found = components(links_)
+    tested = first.groupBy("fp").agg(F.min("partner").alias("least_tested"), F.max("partner").alias("most_tested"))
+    rooted = members.join(found, members.fp == found.node, "left").join(tested, "fp", "left").select("fp", "keys", "mark", *[F.coalesce(c, "fp").alias(c) for c in ("root", "least_tested", "most_tested")])
+    more = materialise(apart_pairs(posted, materialise(rooted, "rooted"), sets, least, similarity, tile, most_bytes), "links")
+    if more.take(1):
+        found = components(links_.unionByName(more))
     return marked.join(found, marked.fp == found.node, "left").select("doc_id", "body", "fp", F.coalesce("root", "fp").alias("root"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of `similar` texts, as keep_verified chooses it; the groups aren't verified."""
-    return _one_of_each(docs, similar(docs, doc_id, text, shingle, similarity), doc_id, text)
-
-
 def keep_verified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of `verified` texts: that of the smallest id, of rows without an id only where a group has
-    no other; of repeated rows one."""
-    return _one_of_each(docs, verified(docs, doc_id, text, shingle, similarity), doc_id, text)
-
-
-def _one_of_each(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
-    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("body").alias("body"))).alias("_llm_one")
-    chosen = rows.groupBy("root").agg(order).select(F.col("_llm_one.id").alias("_llm_id"), F.col("_llm_one.body").alias("_llm_of"))
-    own = docs.withColumn("_llm_body", F.xxhash64(text))
-    kept = own.join(chosen, F.col(f"`{doc_id}`").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_body") == F.col("_llm_of")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_llm_body"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    no other; of repeated rows one, whichever further columns they have."""
+    rows = verified(docs, doc_id, text, shingle, similarity)
+    one, body = fresh(docs.columns, "_one", "_body")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("body").alias("body"))).alias(one)
+    chosen = rows.groupBy("root").agg(order).select(F.col(f"{one}.id").alias(one), F.col(f"{one}.body").alias(f"{body}_"))
+    own = docs.withColumn(body, F.xxhash64(col(text)))
+    kept = own.join(chosen, col(doc_id).eqNullSafe(F.col(one)) & (F.col(body) == F.col(f"{body}_")), "left_semi")
+    return kept.dropDuplicates([doc_id, body]).select(*map(col, docs.columns))

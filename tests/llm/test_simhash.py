@@ -120,137 +120,59 @@ def test_empty(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def slow_wide(text, k=5):
+def shingle_set(text, k=5):
     own = words((text or "").encode())
-    if not own:
-        return 0
-    hashes = [xxhash.xxh64_intdigest(b" ".join(own[i : i + k]), 42) for i in range(max(1, len(own) - k + 1))]
-    counts, mask = [0] * simhash.WIDE, (1 << 64) - 1
-    for h in hashes:
-        for j in range(simhash.WIDE // 64):
-            x = (h + (j + 1) * 0x9E3779B97F4A7C15) & mask
-            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
-            x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
-            x ^= x >> 31
-            for b in range(64):
-                counts[64 * j + b] += x >> (63 - b) & 1
-    return sum(1 << (simhash.WIDE - 1 - b) for b, n in enumerate(counts) if 2 * n > len(hashes))
-
-
-def linked(a, b, bits):
-    x = a ^ b
-    return x.bit_count() <= bits and any(not x >> at & 0xFFFF for at in range(0, simhash.WIDE, 16))
+    return {b" ".join(own[i : i + k]) for i in range(max(1, len(own) - k + 1))} if own else set()
 
 
-def slow_groups(prints, bits):
-    distinct = sorted(set(prints))
-    root = {p: p for p in distinct}
+def similar_groups(texts, similarity=0.8):
+    """Groups of positions by the true similarity of shingle sets, by brute force."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, a in enumerate(distinct):
-        for b in distinct[:i]:
-            if linked(a, b, bits):
-                root[find(a)] = find(b)
-    return {p: find(p) for p in distinct}
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            root[find(j)] = find(i)
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(find(i), set()).add(i)
+    return {frozenset(g) for g in groups.values()}
 
 
 def kept_rows(rows, similarity=0.8):
-    """One row of each group, by brute force."""
-    cache = {}
-    prints = [cache.setdefault(t, slow_wide(t) if t not in cache else cache[t]) for _, t, *_ in rows]
-    root, want = slow_groups(prints, simhash.bits_for(similarity)), {}
-    for r, p in zip(rows, prints, strict=True):
-        key = (r[0] is None, r[0] or 0, str(r[1]))
-        if root[p] not in want or key < want[root[p]][0]:
-            want[root[p]] = (key, r)
+    """One row of each group, by brute force: the smallest id, rows without ids last; the same text twice counts once."""
+    texts = list({r[1]: None for r in rows})
+    group = {texts[k]: g for g in similar_groups(texts, similarity) for k in g}
+    want = {}
+    for r in rows:
+        key, g = (r[0] is None, r[0] or 0, str(r[1])), group[r[1]]
+        if g not in want or key < want[g][0]:
+            want[g] = (key, r)
     return sorted((r for _, r in want.values()), key=str)
 
 
-def test_wide_fingerprint():
-    text = "some words and more words of many kinds here " * 20
-    for t in (text, "one", "", "a b c d e f"):
-        assert int.from_bytes(simhash.wide_fingerprint(t.encode(), part=7), "big") == slow_wide(t)
-
-
 def test_one_of_each_group_stays(docs, rows):
     short = [r for r in rows if len(r[1] or "") < 6000]
-    got = simhash.keep_one(docs.where("text is null or length(text) < 6000"))
+    got = simhash.keep_verified(docs.where("text is null or length(text) < 6000"))
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == kept_rows(short)
 
 
-@pytest.mark.parametrize("tile", [2048, 6])
-def test_wide_links_join_what_brute_force_joins(spark, tile):
-    rng, prints = random.Random(4), set()
-    while len(prints) < 300:
-        p = rng.getrandbits(simhash.WIDE)
-        for _ in range(rng.choice([1, 1, 25])):
-            prints.add(p)
-            for b in rng.sample(range(simhash.WIDE), rng.randint(5, 110)):
-                p ^= 1 << b
-    prints = sorted(prints)
-    df = spark.createDataFrame([(k, p.to_bytes(simhash.WIDE // 8, "big")) for k, p in enumerate(prints)], "fp long, wide binary")
-    bits = simhash.bits_for(0.8)
-    got = [(r.a, r.b) for r in simhash.wide_links(df, bits, tile).collect()]
-    assert all(linked(prints[a], prints[b], bits) for a, b in got)
-    root, groups = slow_groups(prints, bits), {}
-    for k, p in enumerate(prints):
-        groups.setdefault(root[p], set()).add(k)
-    assert joined(got) == {frozenset(g) for g in groups.values() if len(g) > 1}
-
-
-def test_texts_that_are_similar_enough_are_linked():
-    """Pairs with a Jaccard similarity of 0.8 or more on five words link, those under 0.6 don't."""
-    rng, bits, hits, n = random.Random(6), simhash.bits_for(0.8), 0, 0
-    for _ in range(300):
-        own = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
-        other = list(own)
-        for _ in range(max(1, int(len(own) * rng.choice([0.005, 0.01, 0.02, 0.15])))):
-            other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
-        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (own, other))
-        alike = len(a & b) / len(a | b)
-        pair = linked(*(int.from_bytes(simhash.wide_fingerprint(" ".join(x).encode()), "big") for x in (own, other)), bits)
-        if alike >= 0.8:
-            n += 1
-            hits += pair
-        elif alike < 0.6:
-            assert not pair
-    assert n > 80 and hits >= 0.95 * n
-
-
-def test_rows_without_ids(spark):
+def test_rows_without_ids_and_clashing_columns(spark):
     text = "some words that are long enough to be told apart by their shingles"
-    df = spark.createDataFrame([(None, text), (None, text), (None, "quite another text with other words in it, so it stays"), (4, text + " x"), (4, text + " x")], "doc_id long, text string")
-    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
-    alone = not linked(slow_wide(text), slow_wide(text + " x"), simhash.bits_for(0.8))
-    assert [t for i, t in got if i is None] == ["quite another text with other words in it, so it stays", *[text] * alone]
-    assert [i for i, _ in got if i is not None] == [4]
+    rows = [(None, text, 1), (None, text, 2), (None, "quite another text with other words in it, so it stays", 3), (4, text + " x", 4), (4, text + " x", 5)]
+    df = spark.createDataFrame([(*r, r[2], r[2]) for r in rows], "doc_id long, text string, _one int, _BODY int, `a.b` int")
+    got = simhash.keep_verified(df)
+    assert got.columns == df.columns
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert [r[:2] for r in got] == [(4, text + " x"), (None, "quite another text with other words in it, so it stays")] and all(r[2] == r[3] == r[4] for r in got)
 
 
-def shingle_set(text, k=5):
-    own = words((text or "").encode())
-    return {b" ".join(own[i : i + k]) for i in range(max(1, len(own) - k + 1))} if own else set()
-
-
-def similar_groups(texts, similarity=0.8):
-    """Groups of positions by the true similarity of shingle sets, by brute force."""
-    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, j in combinations(range(len(texts)), 2):
-        if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
-            root[find(j)] = find(i)
-    groups = {}
-    for i in range(len(texts)):
-        groups.setdefault(find(i), set()).add(i)
-    return {frozenset(g) for g in groups.values()}
+def test_no_documents_have_no_groups(no_docs):
+    assert simhash.verified(no_docs).count() == 0 and simhash.keep_verified(no_docs).count() == 0
 
 
 def found_groups(spark, texts, **kwargs):
@@ -292,3 +214,57 @@ def test_pairs_of_just_the_similarity_are_found(spark):
                 texts += [" ".join(fresh), " ".join(fresh + [f"v{rng.randrange(10**9)}" for _ in range(k)])]
                 want += [frozenset([len(texts) - 2, len(texts) - 1])] if alike else [frozenset([len(texts) - 2]), frozenset([len(texts) - 1])]
     assert found_groups(spark, texts) == set(want)
+
+
+def test_partners_and_hub():
+    rng = np.random.default_rng(1)
+    hub = rng.integers(0, 256, simhash.SKETCH).astype(np.uint8)
+    marks = np.stack([hub] + [np.where(rng.random(simhash.SKETCH) < 0.75, hub, rng.integers(0, 256, simhash.SKETCH)).astype(np.uint8) for _ in range(20)] + [rng.integers(0, 256, simhash.SKETCH).astype(np.uint8)])
+    got = simhash._partners(np.arange(22), marks, 30)
+    assert {r[0] for r in got if r[3]} == set(range(1, 21)) and {r[1] for r in got if r[3]} == {0}
+    assert 21 not in {r[0] for r in got} | {r[1] for r in got}
+
+
+@pytest.mark.parametrize(("tile", "most_bytes"), [(2048, 1 << 24), (6, 1 << 24), (2048, 400), (4, 100)])
+def test_rows_of_different_roots_meet_once(spark, tile, most_bytes):
+    """Every two rows of a key with different roots meet in one task; tasks are bounded, but for rows of one hash."""
+    rng = random.Random(3)
+    rows = [(k, 100 * k + i, 0 if rng.random() < share else rng.randint(1, 4), rng.randint(1, 60)) for k, (n, share) in enumerate([(2, 0.5), (9, 0.5), (60, 0.9), (40, 0.0)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "key long, fp long, root long, weight long")
+    tasks = {}
+    for r in simhash._deal(df, tile, most_bytes).collect():
+        tasks.setdefault((r.key, r.i, r.j), []).append((r.side, r.fp, r.root))
+    met = {}
+    for (key, i, j), own in tasks.items():
+        assert key == 0 or len(own) <= 4 * tile
+        for (s, a, x), (t, b, y) in combinations(own, 2):
+            if x != y and {s, t} == {i, j}:
+                met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    want = {(min(a, b), max(a, b)) for (k, a, x, _), (m, b, y, _) in combinations(rows, 2) if k == m and x != y}
+    assert met == dict.fromkeys(want, 1)
+
+
+def test_near_copies_without_a_hub(spark):
+    """Many copies of a text that is gone: some link, most don't; brute force decides."""
+    rng, texts = random.Random(12), []
+    base = [f"g{rng.randrange(10**6)}" for _ in range(300)]
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randint(2, 6)):
+            own[rng.randrange(300)] = f"h{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    want = similar_groups(texts)
+    assert 3 < len(want) < 60 or len(want) == 1
+    assert found_groups(spark, texts) == found_groups(spark, texts, tile=8, most_bytes=20000) == want
+
+
+def test_bloom_keeps_every_wanted_row(spark):
+    from tablegraft.llm import common
+
+    rows = spark.range(20000).selectExpr("xxhash64(id) as h", "id")
+    wanted = rows.where("id % 40 = 0").select("h")
+    got = {r.id for r in common.bloom(rows, wanted, "h").collect()}
+    assert set(range(0, 20000, 40)) <= got and len(got) < 4000
+    assert len({r.id for r in common.bloom(rows, wanted, "h", 1 << 16).collect()} & set(range(0, 20000, 40))) == 500
+    assert common.bloom(rows, wanted.where("false"), "h").count() == 0
+    assert common.fresh(["a", "_X", "_x_y"], "_x", "A") == ["_x__", "A_"]
