@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 MAIN = "main"
+#: Fixed value: what a branch may be called.
 _BRANCH = re.compile(r"^[a-z0-9][a-z0-9-]{0,38}$")
 LONGEST = 63
 

@@ -1,7 +1,8 @@
 """Backfill: a table rewritten range by range into a new version, each range an own directory that can be written again.
 
-A range is one Spark job over a key interval, so parquet statistics prune what it doesn't read. Interval bounds come from
-quantiles of the key where they are asked for, else from the key's values; sizes adapt to how long a range took."""
+Without a controller a few ranges of about equally many rows (`quantile_cuts`) are one Spark job each: a table that isn't sorted by
+key is scanned no more often than there are ranges, a sorted one once, as parquet statistics prune the rest. With a controller,
+which holds a migration back beside other work, ranges are key intervals whose size adapts to how long the last one took."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.names import quoted
 
 START, LEAST, MOST = 10_000, 100, 500_000
+ROWS_A_RANGE, MOST_RANGES = 200_000_000, 16
 
 
 @dataclass
@@ -41,6 +43,10 @@ def bounds(rows: DataFrame, key: str) -> tuple[int | None, int | None, int]:
     return r.lo, r.hi, r.n
 
 
+def ranges_for(rows: int, a_range: int = ROWS_A_RANGE, most: int = MOST_RANGES) -> int:
+    return max(1, min(most, -(-rows // a_range)))
+
+
 def quantile_cuts(rows: DataFrame, key: str, batches: int) -> list[int]:
     """Upper bounds of about equally many rows each, whatever gaps the keys have; the last is the greatest key."""
     if batches < 2:
@@ -58,13 +64,18 @@ def by_value(lo: int, hi: int, control: Controller, cursor: int | None = None) -
         at = to
 
 
+def remaining(rows: DataFrame, key: str, cursor: int) -> DataFrame:
+    """Rows that a backfill with this cursor hasn't written."""
+    return rows.where(F.col(quoted(key)) > cursor)
+
+
 def run(
     rows: DataFrame, key: str, column: str, value: Column, path: str, cursor: int | None = None, control: Controller | None = None,
-    progress: Callable[[dict], None] = lambda e: None, cuts: list[int] | None = None, limit: tuple[int, int, int] | None = None,
+    progress: Callable[[dict], None] = lambda e: None, cuts: list[int] | None = None, limit: tuple[int, int, int] | None = None, a_range: int = ROWS_A_RANGE,
 ) -> dict:
     """Writes `rows` with `column` = value to path/batch=<upper bound>. Begins after the cursor; progress gets the cursor once a
-    range is written. Keys are whole numbers; rows with a null key are written first, as batch=null."""
-    control = control or Controller()
+    range is written. Keys are whole numbers; rows with a null key are written first, as batch=null. Ranges are `cuts`, else the
+    controller's, else quantiles of the rows that are left."""
     lo, hi, n = limit or bounds(rows, key)
     if not n:
         return {"rows": 0, "total": 0, "batches": 0, "cursor": cursor}
@@ -79,7 +90,11 @@ def run(
     if not whole:  # a key without distances: one range
         filled.where(k.isNotNull()).write.mode("overwrite").parquet(f"{path}/batch=all")
         return {"rows": n, "total": n, "batches": 1, "cursor": None}
-    spans = zip([lo - 1, *cuts[:-1]], cuts, strict=True) if cuts else by_value(lo, hi, control, cursor)
+    if not cuts and not control:
+        left = rows if cursor is None else remaining(rows, key, cursor)
+        cuts = [hi] if ranges_for(n, a_range) == 1 else [c for c in quantile_cuts(left, key, ranges_for(n, a_range)) if c is not None]
+        cuts = [*[c for c in cuts if c < hi], hi]
+    spans = zip([lo - 1 if cursor is None else cursor, *cuts[:-1]], cuts, strict=True) if cuts else by_value(lo, hi, control, cursor)
     for after, upto in spans:
         if cursor is not None and upto <= cursor:
             continue
@@ -89,8 +104,9 @@ def run(
         ms = 1000 * (time.monotonic() - began)
         spent += ms / 1000
         batches += 1
-        control.after(ms)
+        if control:
+            control.after(ms)
         done = upto - lo + 1
-        left = (hi - upto) * spent / max(1, done)
-        progress({"cursor": upto, "keys_done": done, "keys_total": hi - lo + 1, "rows_total": n, "ms": round(ms), "eta_s": round(left, 1), "next": control.size})
+        left_s = (hi - upto) * spent / max(1, done)
+        progress({"cursor": upto, "keys_done": done, "keys_total": hi - lo + 1, "rows_total": n, "ms": round(ms), "eta_s": round(left_s, 1), "next": control.size if control else None})
     return {"rows": n, "total": n, "batches": batches, "cursor": hi}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..ir import Column, SchemaIR, Table
 from ..operators import backfill, overlay
 from ..operators.diff import Op
 from ..plans.ddl import apply_ops, parse_ddl
-from ..sources import catalog
+from ..sources.scratch import shared_dir
 from ..streaming import sync
 
 
@@ -92,11 +94,46 @@ def branch_own_table(spark, d):
 
 
 def rows_page(spark, d):
-    return branch(spark, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    """A page of main's rows as the repository gives it, with the exact count of all."""
+    out = repo_of(spark, d, {"orders": ["o_orderkey"]}).rows("orders")
+    rows = [(r["o_orderkey"], r["o_orderstatus"], r["o_totalprice"], out["count"]) for r in out["rows"]]
+    return spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, total long")
 
 
 def table_stats(spark, d):
-    return catalog.table_counts({t: read(spark, d, t) for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")})
+    out = repo_of(spark, d, dict.fromkeys(("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"))).stats()
+    return spark.createDataFrame([(t, x["rows"], x["bytes"] > 0, out["rows"]) for t, x in out["tables"].items()], "table_name string, n_rows long, stored boolean, total long")
+
+
+def stats_after_writes(spark, d):
+    """Sizes with rows replaced and added since: none is counted twice; a branch stores nothing."""
+    repo = repo_of(spark, d, {"customer": ["c_custkey"]})
+    rows = read(spark, d, "customer")
+    repo.write("customer", rows.where("c_custkey < 100").withColumn("c_acctbal", F.lit(0.0)))
+    repo.write("customer", rows.where("c_custkey >= 50").withColumn("c_custkey", F.col("c_custkey") + 1_000_000))
+    repo.create_branch("b")
+    out = [("written", repo.stats()["rows"]), ("branch bytes", repo.stats("b")["bytes"])]
+    repo.compact("customer")
+    return spark.createDataFrame([*out, ("compacted", repo.stats()["rows"]), ("changes left", len(repo.store.state()["tables"]["customer"]["changes"]))], "what string, n long")
+
+
+def repo_of(spark, d, keys: dict, control=None):
+    """A repository over tables of the folder, as main."""
+    from ..api import Repo
+
+    repo = Repo(spark, f"{shared_dir(spark)}/repo-{uuid.uuid4().hex}", control)
+    repo.init({n: f"{d}/{n}.parquet" for n in keys}, {n: k for n, k in keys.items() if k})
+    return repo
+
+
+def merged(spark, d, keys: dict, ddl: str, control=None):
+    """The same after a branch's change has been merged."""
+    repo = repo_of(spark, d, keys, control)
+    repo.create_branch("change")
+    repo.ddl("change", ddl)
+    repo.commit("change", "change")
+    repo.apply_merge(repo.create_merge("change")["id"])
+    return repo
 
 
 def table_bounds(spark, d):
@@ -123,9 +160,12 @@ def backfill_batches(spark, d):
 
 
 def backfill_resume(spark, d):
-    """What a cursor leaves to do."""
-    rows = read(spark, d, "orders")
-    return rows.groupBy(F.when(F.col("o_orderkey") <= 60, "done").otherwise("open").alias("part")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    """A backfill that a cursor resumes half way: what it writes, and from where to where."""
+    rows, path = read(spark, d, "orders").select("o_orderkey", "o_custkey"), f"{shared_dir(spark)}/resume-{uuid.uuid4().hex}"
+    lo, hi, _ = backfill.bounds(rows, "o_orderkey")
+    out = backfill.run(rows, "o_orderkey", "o_custkey__new", F.col("o_custkey").cast("string"), path, cursor=(lo + hi) // 2, a_range=10_000)
+    done = spark.read.parquet(f"{path}/*").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count_if(F.col("o_custkey__new") == F.col("o_custkey").cast("string")).alias("filled"))
+    return done.withColumn("cursor", F.lit(out["cursor"]).cast("long"))
 
 
 def sync_race(spark, d):
@@ -137,9 +177,11 @@ def sync_race(spark, d):
 
 
 def expand_volatile_add(spark, d):
-    """A volatile add fills only what sync hasn't filled."""
-    rows = read(spark, d, "customer").withColumn("token", F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("synced-"), F.col("c_custkey"))))
-    return rows.select("c_custkey", F.coalesce("token", F.md5(F.col("c_name").cast("binary"))).alias("token"))
+    """A volatile add: each row's value is made once and stays, rows written later bring their own."""
+    repo = merged(spark, d, {"customer": ["c_custkey"]}, "ALTER TABLE customer ADD COLUMN token text NOT NULL DEFAULT md5(c_name)")
+    rows = repo.table("customer").where("c_custkey % 10 = 0")
+    repo.write("customer", rows.withColumn("token", F.concat(F.lit("synced-"), F.col("c_custkey"))))
+    return repo.table("customer").select("c_custkey", "token")
 
 
 def _cut_over(spark, d):
@@ -147,17 +189,30 @@ def _cut_over(spark, d):
     return rows.withColumn("p_size__old_1", F.col("p_size")).withColumn("p_size", F.col("p_size").cast("string"))
 
 
+_RETYPE = "ALTER TABLE part ALTER COLUMN p_size TYPE text"
+
+
 def cutover_projection(spark, d):
-    return _cut_over(spark, d).select("p_partkey", "p_size", "p_size__old_1")
+    """After a cutover both columns are stored: the new one under the name, the old one kept."""
+    repo = merged(spark, d, {"part": ["p_partkey"]}, _RETYPE)
+    t = repo.store.state()["tables"]["part"]
+    stored = {c["name"]: c["physical"] for c in [*t["columns"], *t["kept"]]}
+    return repo.store.rows(t).select(*[F.col(stored[c]).alias(c) for c in ("p_partkey", "p_size", "p_size__old_1")])
 
 
 def contract_projection(spark, d):
-    return _cut_over(spark, d).drop("p_size__old_1").select("p_partkey", "p_size")
+    """A contract drops the old column from the files too; what is stored afterwards is read from them."""
+    repo = merged(spark, d, {"part": ["p_partkey"]}, _RETYPE)
+    before = repo.stats()["bytes"]
+    repo.contract_merge(1)
+    files = spark.read.parquet(*repo.store.state()["tables"]["part"]["files"])
+    return repo.table("part").select("p_partkey", "p_size", F.lit(len(files.columns)).cast("long").alias("columns"), F.lit(0 < repo.stats()["bytes"] < before).alias("smaller"))
 
 
 def revert_projection(spark, d):
-    out = _cut_over(spark, d)
-    return out.drop("p_size").withColumnRenamed("p_size__old_1", "p_size").select("p_partkey", "p_size")
+    repo = merged(spark, d, {"part": ["p_partkey"]}, _RETYPE)
+    repo.revert_merge(1)
+    return repo.table("part").select("p_partkey", "p_size")
 
 
 def remap_after_retype(spark, d):
@@ -205,19 +260,21 @@ ORACLES = {
     "branch_cross_table": "SELECT o_orderstatus AS status, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "branch_views_sql": "SELECT n_name, c_mktsegment AS segment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
     "branch_own_table": "SELECT CAST(0 AS BIGINT) AS id, '' AS body, CAST(0 AS BIGINT) AS size WHERE false",
-    "rows_page": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25",
-    "table_stats": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
+    "rows_page": "SELECT o_orderkey, o_orderstatus, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderkey LIMIT 25",
+    "table_stats": "SELECT *, true AS stored, CAST(sum(n_rows) OVER () AS BIGINT) AS total FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")) + ")",
+    "stats_after_writes": """WITH n AS (SELECT count(*) + count(*) FILTER (WHERE c_custkey >= 50) AS n FROM customer)
+        SELECT 'written' AS what, n FROM n UNION ALL SELECT 'branch bytes', 0 UNION ALL SELECT 'compacted', n FROM n UNION ALL SELECT 'changes left', 0""",
     "table_bounds": "SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi, count(*) AS n FROM orders",
     "filtered_count": "SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_discount > 0.05) AS discounted FROM lineitem",
     "backfill_retype": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size__new, CAST(floor(p_retailprice) AS BIGINT) AS whole, p_retailprice >= 0 AS fits FROM part",
     "backfill_batches": "SELECT CAST((l_orderkey - m) // 1000 AS BIGINT) AS batch, count(*) AS n, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem, (SELECT min(l_orderkey) AS m FROM lineitem) GROUP BY 1",
-    "backfill_resume": "SELECT CASE WHEN o_orderkey <= 60 THEN 'done' ELSE 'open' END AS part, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1",
+    "backfill_resume": "SELECT count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi, count(*) AS filled, max(o_orderkey) AS cursor FROM orders WHERE o_orderkey > (SELECT (min(o_orderkey) + max(o_orderkey)) // 2 FROM orders)",
     "sync_race": """WITH last AS (SELECT user_id, value FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
         b AS (SELECT c_custkey, CASE WHEN user_id IS NULL THEN c_acctbal ELSE value END AS c_acctbal FROM customer LEFT JOIN last ON user_id = c_custkey)
         SELECT c_custkey, c_acctbal, c_acctbal < 0 AS negative FROM b""",
     "expand_volatile_add": "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'synced-' || c_custkey ELSE md5(c_name) END AS token FROM customer",
     "cutover_projection": f"{_CUT}, p_size AS p_size__old_1 FROM part",
-    "contract_projection": f"{_CUT} FROM part",
+    "contract_projection": f"{_CUT}, CAST(6 AS BIGINT) AS columns, true AS smaller FROM part",
     "revert_projection": "SELECT p_partkey, p_size FROM part",
     "remap_after_retype": "SELECT p_partkey, p_size, p_brand FROM part",
     "set_operations": """WITH a(name) AS (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_mktsegment')), b(name) AS (VALUES ('c_custkey'), ('c_nationkey'), ('c_mktsegment'), ('memo'))

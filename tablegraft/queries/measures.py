@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 from ..api import Repo
 from ..operators import latency
 from ..operators.backfill import Controller
+from ..plans.runner import MigrationError
 from ..sources import seed
+from ..sources.scratch import shared_dir
 from ..streaming import events, sync
 from .branches import read
 
 
 def _scratch(spark) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repo-")
-    return f"{base.rstrip('/')}/repo-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/repo-{uuid.uuid4().hex}"
 
 
 def latency_percentiles(spark, d):
@@ -89,7 +88,8 @@ def migrate_rewind(spark, d):
 
 
 def migrate_with_writes(spark, d):
-    """Rows written before, during (through sync) and after a retype."""
+    """Rows written before a retype, between its expand and its sync, during its backfill, across its cutover, and after it; the two
+    that were on their way while the table moved on were made for what it had been."""
     repo = Repo(spark, _scratch(spark), lambda: Controller(size=1 << 20))
     repo.init({"customer": f"{d}/customer.parquet"}, {"customer": ["c_custkey"]})
     cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -99,18 +99,66 @@ def migrate_with_writes(spark, d):
     repo.ddl("wide", "ALTER TABLE customer ALTER COLUMN c_nationkey TYPE text")
     repo.commit("wide", "text keys")
     n = repo.create_merge("wide")["id"]
-    done = repo.runner.do_backfill
+    steps = {name: getattr(repo.runner, f"do_{name}") for name in ("expand", "sync", "backfill", "cutover")}
+
+    def set_key(key: int, value: int) -> None:
+        repo.write("customer", base.where(F.col("c_custkey") == key).withColumn("c_nationkey", F.lit(value)))
+
+    def overtaken(name: str, key: int, value: int):
+        """A write that has read the state before a step and is published after it."""
+        def step(m, s):
+            change = repo.store.change
+
+            def late(edit, *args):
+                repo.store.change = change
+                steps[name](m, s)
+                return change(edit, *args)
+
+            repo.store.change = late
+            set_key(key, value)
+
+        return step
 
-    def racing(m, step):
-        done(m, step)
-        repo.write("customer", repo.table("customer").where("c_custkey = 2").withColumn("c_nationkey", F.lit(88)))
+    def then(name: str, key: int, value: int):
+        def step(m, s):
+            steps[name](m, s)
+            set_key(key, value)
 
-    repo.runner.do_backfill = racing
+        return step
+
+    repo.runner.do_expand, repo.runner.do_backfill = then("expand", 4, 44), then("backfill", 2, 88)
+    repo.runner.do_sync, repo.runner.do_cutover = overtaken("sync", 5, 55), overtaken("cutover", 6, 66)
     repo.apply_merge(n)
     repo.write("customer", repo.table("customer").where("c_custkey = 3").withColumn("c_nationkey", F.lit("99")))
     return repo.table("customer").select("c_custkey", "c_nationkey", "c_name")
 
 
+def migrate_write_revert(spark, d):
+    """Rows written after a merge have their former values when it is reverted: converted back, or from the row they replace."""
+    repo = _migrated(spark, d, "ALTER TABLE customer ALTER COLUMN c_nationkey TYPE text; ALTER TABLE customer DROP COLUMN c_mktsegment; ALTER TABLE customer ADD COLUMN flag int DEFAULT 1", {"customer": "c_custkey"})
+    rows = repo.table("customer")
+    repo.write("customer", rows.where("c_custkey = 3").withColumn("c_nationkey", F.lit("9")).withColumn("flag", F.lit(7)))
+    flags = repo.table("customer").groupBy("flag").count().collect()
+    assert {(r.flag, r["count"]) for r in flags if r.flag == 7} == {(7, 1)}
+    repo.revert_merge(1)
+    return repo.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+
+
+def migrate_refused_revert(spark, d):
+    """Rows without an exact former value: the revert is refused, and nothing changes."""
+    out = []
+    for what, ddl, value in (("text", "TYPE text", "many"), ("using", "TYPE bigint USING c_nationkey * 2", 5), ("exact", "TYPE bigint", 5)):
+        repo = _migrated(spark, d, f"ALTER TABLE customer ALTER COLUMN c_nationkey {ddl}", {"customer": "c_custkey"})
+        repo.write("customer", repo.table("customer").where("c_custkey = 3").withColumn("c_nationkey", F.lit(value)))
+        try:
+            repo.revert_merge(1)
+        except MigrationError as e:
+            out.append((what, str(e), repo.get_merge(1)["state"]))
+        else:
+            out.append((what, "", repo.get_merge(1)["state"]))
+    return spark.createDataFrame(out, "what string, said string, state string")
+
+
 def events_tail(spark, d):
     """Telemetry of a migration read as a stream into a table."""
     repo = _migrated(spark, d, "ALTER TABLE nation ALTER COLUMN n_regionkey TYPE text", {"nation": "n_nationkey"}, lambda: Controller(size=1 << 20))
@@ -142,7 +190,11 @@ ORACLES = {
     "migrate_retype": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice AS amount, o_orderstatus FROM orders",
     "migrate_and_revert": "SELECT p_partkey, p_size, p_type, p_brand FROM part",
     "migrate_rewind": "SELECT s_suppkey, s_name, s_nationkey FROM supplier",
-    "migrate_with_writes": "SELECT c_custkey, CASE c_custkey WHEN 1 THEN '77' WHEN 2 THEN '88' WHEN 3 THEN '99' ELSE CAST(c_nationkey AS VARCHAR) END AS c_nationkey, c_name FROM customer",
+    "migrate_with_writes": "SELECT c_custkey, CASE c_custkey WHEN 1 THEN '77' WHEN 2 THEN '88' WHEN 3 THEN '99' WHEN 4 THEN '44' WHEN 5 THEN '55' WHEN 6 THEN '66' ELSE CAST(c_nationkey AS VARCHAR) END AS c_nationkey, c_name FROM customer",
+    "migrate_write_revert": "SELECT c_custkey, CASE c_custkey WHEN 3 THEN 9 ELSE c_nationkey END AS c_nationkey, c_mktsegment, c_acctbal FROM customer",
+    "migrate_refused_revert": "SELECT * FROM (VALUES ('text', '1 rows of customer written since merge 1 have no exact former value', 'merged'), ('using', '1 rows of customer written since merge 1 have no exact former value', 'merged'), ('exact', '', 'reverted')) v(what, said, state)",
+    "events_tail": """SELECT CAST(1 AS BIGINT) AS merge_id, 'info' AS level, kind, state FROM (VALUES ('expand', 'running'), ('expand', 'done'), ('sync', 'running'), ('sync', 'done'), ('backfill', 'running'), ('backfill', NULL), ('backfill', 'done'),
+        ('cutover', 'running'), ('cutover', 'done'), (NULL, 'merged')) v(kind, state)""",
     "sync_stream": "SELECT user_id, event_id, value, value > 100 AS large FROM events WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "events_tail"]}
+QUERIES = {name: globals()[name] for name in ORACLES}

@@ -3,8 +3,6 @@ fixtures, given in SQL on the other side."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions.types import canonicalize, is_coercible
@@ -192,22 +190,25 @@ def prune_history(spark, d):
     return lineage.prunable(_commits(spark), "g")
 
 
-_LEFT = [("txns", "id"), ("txns", "amount__new"), ("txns", "amount__old_3"), ("txns", "new_one"), ("accounts", "email__old_12"), ("accounts", "older")]
-
-
 def leftover_shadows(spark, d):
-    df = spark.createDataFrame(_LEFT, "tbl string, col string")
-    keep = spark.createDataFrame([("accounts", "email__old_12")], "tbl string, col string")
-    return df.where(F.col("col").rlike("__new$|__old_")).join(keep, ["tbl", "col"], "left_anti")
+    """Columns that merges keep in main, but for those that a state names."""
+    from .branches import merged
+
+    repo = merged(spark, d, {"nation": ["n_nationkey"], "region": ["r_regionkey"]}, "ALTER TABLE nation ALTER n_regionkey TYPE text; ALTER TABLE nation DROP COLUMN n_name; ALTER TABLE region ALTER r_name TYPE varchar(3)")
+    keep = SchemaIR((Table("nation", (Column("n_name__old_1", TEXT),)),))
+    return spark.createDataFrame([(t, c) for t, cols in repo.leftovers(keep).items() for c in cols], "tbl string, col string")
 
 
 def closed_merges(spark, d):
-    """Merges whose kept columns are all gone: exploded plans, then semi and anti joins."""
-    plans = [(1, "merged", json.dumps([{"backup": "a__old_1"}])), (2, "merged", json.dumps([{"backup": "b__old_2"}, {}])), (3, "merged", "[{}]"), (4, "failed", json.dumps([{"backup": "d__old_4"}]))]
-    m = spark.createDataFrame(plans, "id long, state string, plan string").where("state = 'merged'")
-    kept = spark.createDataFrame([("b__old_2",)], "backup string")
-    steps = m.select("id", F.explode(F.from_json("plan", "array<struct<backup:string>>")).alias("s")).select("id", "s.backup").where("backup is not null")
-    return m.join(steps, "id", "left_semi").join(steps.join(kept, "backup", "left_semi"), "id", "left_anti").select("id", F.lit("reverted").alias("state"))
+    """Merges whose kept columns are all gone can't be reverted any more; a rewind that drops one's closes it."""
+    from .branches import merged
+
+    repo = merged(spark, d, {"nation": ["n_nationkey"], "region": ["r_regionkey"]}, "ALTER TABLE nation ALTER n_regionkey TYPE text")
+    repo.ddl("change", "ALTER TABLE region RENAME r_name TO name")
+    repo.commit("change", "rename")
+    repo.apply_merge(repo.create_merge("change")["id"])
+    repo.apply_merge(repo.create_rewind(merges_back=2)["id"])
+    return spark.createDataFrame([(m["id"], m["kind"], m["state"]) for m in repo.store.state()["merges"].values()], "id long, kind string, state string")
 
 
 def seed_commit(spark, d):
@@ -284,8 +285,8 @@ ORACLES = {
     "view_dependents": f"""WITH RECURSIVE e AS ({_values(_EDGES, "dependent, dep_on")}), w(name, depth) AS (SELECT dependent, 1 FROM e WHERE dep_on = 't' UNION SELECT e.dependent, w.depth + 1 FROM w JOIN e ON e.dep_on = w.name)
         SELECT name, CAST(max(depth) AS BIGINT) AS depth FROM w GROUP BY name""",
     "prune_history": _WALK.format("('g')") + f" SELECT id FROM {_C} WHERE id NOT IN (SELECT id FROM w)",
-    "leftover_shadows": f"SELECT * FROM ({_values(_LEFT, 'tbl, col')}) WHERE regexp_matches(col, '__new$|__old_') AND NOT (tbl = 'accounts' AND col = 'email__old_12')",
-    "closed_merges": "SELECT CAST(1 AS BIGINT) AS id, 'reverted' AS state",
+    "leftover_shadows": "SELECT * FROM (VALUES ('nation', 'n_regionkey__old_1'), ('region', 'r_name__old_1')) v(tbl, col)",
+    "closed_merges": "SELECT CAST(id AS BIGINT) AS id, kind, state FROM (VALUES (1, 'merge', 'reverted'), (2, 'merge', 'merged'), (3, 'rewind', 'merged')) v(id, kind, state)",
     "seed_commit": "SELECT * FROM (VALUES ('by message', 'c4'), ('by tables', 'c3')) v(how, id)",
     "ddl_and_ops_agree": "SELECT * FROM (VALUES ('ours', true), ('theirs', true), ('clash', true)) v(state, agrees)",
 }

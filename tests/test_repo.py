@@ -356,3 +356,56 @@ def test_seed(spark, tmp_path):
     again = seed.seed(spark, str(tmp_path), sizes, missing_only=True)
     assert paths == again and spark.read.parquet(paths["txns"]).where("memo is null").count() == 20
     assert catalog.table_counts({k: spark.read.parquet(p) for k, p in paths.items()}).agg(F.sum("n_rows")).first()[0] == 5000
+
+
+def test_ranges_of_a_backfill(spark, tmp_path):
+    rows = spark.range(0, 1000).selectExpr("id * id as k", "id as v")
+    seen = []
+    out = backfill.run(rows, "k", "w", F.col("v") + 1, str(tmp_path / "r"), progress=seen.append, a_range=100)
+    assert out["batches"] == len(seen) == 10 and seen[-1]["cursor"] == 999 * 999 and [e["cursor"] for e in seen] == sorted(e["cursor"] for e in seen)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "r")).groupBy("batch").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 200
+    assert backfill.ranges_for(10**12) == backfill.MOST_RANGES and backfill.ranges_for(5) == 1
+
+
+def test_compaction_keeps_rows_and_frees_files(repo):
+    for k in range(3):
+        repo.write("txns", repo.table("txns").where(f"id <= {10 * (k + 1)}").withColumn("memo", F.lit(f"m{k}")))
+    before, paths = values(repo, "txns", "id", "memo"), repo.store.files.names("data/txns")
+    assert len(paths) == 3 and repo.compact("txns") and values(repo, "txns", "id", "memo") == before
+    assert len(repo.store.files.names("data/txns")) == 1 and repo.stats()["tables"]["txns"]["rows"] == 40 and not repo.compact("accounts")
+    n = change(repo, "ALTER TABLE txns ADD COLUMN flag int DEFAULT 3")
+    repo.apply_merge(n)
+    repo.write("txns", repo.table("txns").where("id = 2").withColumn("flag", F.lit(9)))
+    want = values(repo, "txns", "id", "flag")
+    assert want[0] == (1, 3) and want[1] == (2, 9) and repo.compact("txns") and values(repo, "txns", "id", "flag") == want
+    repo.ddl("work", "ALTER TABLE txns ALTER amount_cents TYPE text")
+    repo.commit("work", "text")
+    repo.apply_merge(repo.create_merge("work")["id"])
+    assert values(repo, "txns", "id", "flag") == want
+
+
+def test_old_states_are_pruned(spark, tmp_path, monkeypatch):
+    from tablegraft.sources import store as module
+
+    monkeypatch.setattr(module, "KEPT_STATES", 5)
+    store = Store(spark, str(tmp_path / "s"))
+    for k in range(30):
+        store.change(lambda s: s.update(next_merge=s["next_merge"] + 1))
+    assert store.state()["next_merge"] == 31 and len(store.files.names("state")) <= 11
+    n, _ = store.latest()
+    late, real = Store(spark, str(tmp_path / "s")), store.latest
+    late.latest = lambda calls=[]: calls.append(1) or ((0, {"next_merge": 0, "tables": {}}) if len(calls) == 1 else real())  # noqa: B006
+    late.change(lambda s: s.update(next_merge=s["next_merge"] + 1))
+    assert store.state()["next_merge"] == 32 and store.latest()[0] == n + 1
+
+
+def test_dropped_column_of_a_new_row_cannot_be_reverted(repo):
+    repo.apply_merge(change(repo, "ALTER TABLE txns ALTER memo SET DEFAULT 'x'"))
+    repo.ddl("work", "ALTER TABLE txns DROP COLUMN memo")
+    repo.commit("work", "drop")
+    n = repo.create_merge("work")["id"]
+    repo.apply_merge(n)
+    repo.write("txns", repo.spark.createDataFrame([(7, 1), (99, 2)], "id long, amount_cents long"))
+    repo.revert_merge(n)
+    assert dict(values(repo, "txns", "id", "memo"))[7] == "memo 7" and dict(values(repo, "txns", "id", "memo"))[99] is None

@@ -94,7 +94,7 @@ def test_names():
     assert names.backup("amount", 12) == "amount__old_12" and len(names.backup("c" * 63, 12)) == 63
     assert names.levenshtein("kitten", "sitting") == 3 and names.shared_prefix("amount_cents", "amount") == 6
     with pytest.raises(ValueError, match="not a type"):
-        types.check_expr("text; drop")
+        types.read_type("text(; drop")
 
 
 # diff

@@ -57,3 +57,14 @@ def test_latency_summaries(spark):
         assert {r.bucket: r.value for r in latency.downsample(df, "value", ["i"]).collect()} == {b: nearest(x, 99) for b, x in chunks.items()}
     empty = latency.percentiles(spark.createDataFrame([], "value double")).first()
     assert tuple(empty) == (0, None, None, None, None)
+
+
+def test_ranges_are_bounded(spark):
+    """Summaries don't depend on the size of ranges, and a range holds no more than it should, ties or not."""
+    rng = random.Random(3)
+    rows = [(k, float(rng.choice([1, 1, 1, rng.random()]))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "i long, value double").repartition(7)
+    parts = latency.ranged(df, ["i"], 3000, 200).groupBy("_part").count().collect()
+    assert len(parts) >= 14 and max(r["count"] for r in parts) <= 600
+    for make in (lambda n: latency.percentiles(df, a_range=n), lambda n: latency.sparkline(df, "value", ["i"], a_range=n), lambda n: latency.downsample(df, "value", ["i"], a_range=n)):
+        assert sorted(map(tuple, make(100).collect())) == sorted(map(tuple, make(1 << 20).collect()))
