@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,12 +17,15 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; set here only where it is unset and all of Spark runs
+    on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -133,7 +137,7 @@ class DistinctTable(dict):
 
 def total_bytes(df: DataFrame, text: str) -> int:
     """Bytes of a text column over all rows; one scan with a partial sum in each task."""
-    return int(df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long") + 16), F.lit(0))).first()[0])
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(col(text)).cast("long") + 16), F.lit(0))).first()[0])
 
 
 def even_labels(spark: SparkSession, n: int) -> list[int]:
@@ -146,11 +150,12 @@ def even_labels(spark: SparkSession, n: int) -> list[int]:
     return [r.label for r in sorted(found, key=lambda r: r.slot)]
 
 
-def with_block(df: DataFrame, doc_id: str, text: str, block_bytes: int, name: str = "_block", even: int = 0) -> tuple[DataFrame, int]:
-    """Deals rows into blocks of about block_bytes of text each, by a hash of id and text; the number of blocks grows with
-    the input, so a block has the same size at every scale. Up to `even` blocks get numbers that hash evenly."""
+def with_block(df: DataFrame, text: str, block_bytes: int, name: str = "_block", even: int = 0) -> tuple[DataFrame, int]:
+    """Deals rows into blocks of about block_bytes of text each, by a hash of their places in the input, repeated rows too; write
+    the result before it is read twice. The number of blocks grows with the input, so a block has the same size at every scale.
+    Up to `even` blocks get numbers that hash evenly."""
     n = max(1, -(-total_bytes(df, text) // block_bytes))
-    block = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     if 1 < n <= even:
         block = F.element_at(F.array(*map(F.lit, even_labels(df.sparkSession, n))), block + 1)
     return df.withColumn(name, block), n

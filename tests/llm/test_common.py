@@ -14,9 +14,9 @@ def test_even_labels(spark):
 
 def test_blocks_hold_every_row(spark, docs, no_docs):
     for even in (0, 100):
-        got, n = common.with_block(docs, "doc_id", "text", 5000, "b", even)
+        got, n = common.with_block(docs, "text", 5000, "b", even)
         assert n > 5 and got.count() == docs.count() and got.select("b").distinct().count() <= n
-    assert common.with_block(no_docs, "doc_id", "text", 5000)[1] == 1
+    assert common.with_block(no_docs, "text", 5000)[1] == 1
 
 
 def test_slices_hold_every_row_and_bound_their_bytes():
