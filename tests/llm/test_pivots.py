@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -36,10 +39,46 @@ def test_few_candidates_and_empty(spark):
     assert pivots.top_k(df.where("vec_id > 5")).count() == 0
 
 
+def exact(rows, k, every):
+    """By fractions, whatever the size."""
+    width = max(len(v) for _, v in rows)
+    use = [(i, [math.floor(Fraction(x) * 1024) for x in v] + [0] * (width - len(v))) for i, v in rows]
+    out = []
+    for q, v in use:
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in use if i != q)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
 def test_large_components_stay_exact(spark):
-    rows = [(0, [3e30, 1.0]), (1, [2e30, -1.0]), (2, [-3e30, 0.0]), (3, [1e12, 1e12])]
-    got = pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert [r.vec_id for r in got] == [1, 3, 2] and got[0].score == 2**63 - 1 and got[-1].score == -(2**63)
+    """Components far beyond what doubles tell apart, whose products cancel or stay small."""
+    rng = np.random.default_rng(5)
+    rows = [(0, [3e30, 1.0, 0.0, 0.25]), (1, [0.0, -1.0, 1e300]), (2, [1e-30, 5.0, -1e300]), (3, [0.0, 1e9]), (50, [0.0, 3e5, 0.0]), (305, [0.0, 0.0, 0.0, 2.0**43 + 0.5])]
+    rows += [(100 + i, [0.0, float(rng.normal() * 1e6)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = exact(rows, 3, 50)
+    assert sorted(map(tuple, pivots.top_k(df, 3, every=50).collect())) == want and any(abs(r[3]) > 1 << 53 for r in want)
+
+
+@pytest.mark.parametrize("vectors", [[(0, [1e12]), (1, [1e12])], [(0, [1e12]), (1, [-1e12])]])
+def test_scores_beyond_a_long_are_an_error(spark, vectors):
+    with pytest.raises(Exception, match="a score of query 0 doesn't fit a long"):
+        pivots.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+
+
+def test_scores_below_a_long_do_no_harm_outside_the_k_highest(spark):
+    rows = [(0, [1e12, 0.0]), *[(i, [-1e12, 1.0]) for i in range(1, 5)], (7, [1.0, 1.0]), (8, [2.0, 0.0])]
+    got = pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2).collect()
+    assert [r.vec_id for r in got] == [8, 7]
+
+
+def test_groups_and_blocks_do_not_matter(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, pivots.top_k(df, 5, every=3, most_bytes=b, least_blocks=n).collect())) for b, n in ((48 << 20, 2), (8 * 6 * 150, 8)))
+    assert one == many == exact(rows, 5, 3)
 
 
 @pytest.mark.parametrize("n", [1, 5, 3000])
@@ -47,8 +86,10 @@ def test_search_stops_early_but_misses_nothing(n):
     rng = np.random.default_rng(n)
     x = (rng.normal(size=(n, 3)) * 1000).astype(np.int64)
     x[: n // 2] = x[0]
-    table = pivots.PivotTable(np.arange(n), x, 16)
+    table = pivots.PivotTable(np.arange(n), x / 1024, 16)
     for q in range(0, n, max(1, n // 20)):
         scores = x @ x[q]
         want = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
-        assert [(-s, i) for s, i in table.search(x[q], q, 10)] == want
+        assert [(-s, i) for s, i in table.search(x[q] / 1024, q, 10)] == want
+        if len(want) == 10:
+            assert [(-s, i) for s, i in table.search(x[q] / 1024, q, 10, -want[-1][0])] == want
