@@ -5,18 +5,19 @@ the counts are summed by key. The keys that enough documents hold are dealt into
 hash by levels of bit arrays (a key takes the place that no other key of its level hashes to), which indexes an array of
 fingerprints and one of counts. Documents probe these arrays; lines are never joined.
 
-The arrays go to every task while they are within `most_bytes`. Beyond, each block of documents sends its distinct keys to the
-shards they belong to, where the arrays are probed, and gets back those that must go; blocks and shards are of bounded size,
-so nothing grows but their number.
+The arrays go to every worker while they are within `most_bytes`. Beyond, each block of documents sends its distinct keys to the
+shards they belong to, where the arrays are probed, and gets back those that must go. Blocks and shards are of bounded size, and a
+shard that is asked much is probed in several places, each with `asked_a_part` keys or so; nothing grows but their number.
 
 A key is the line with \\x20 and \\x09-\\x0D stripped at both ends and A-Z lower-cased; keys of under min_chars code points
 always stay. A null or empty text is one empty line. Each row counts as a document of its own, repeated rows too. A text whose
-lines all go becomes the empty text. An empty table gives an empty result. Further columns stay as they are; columns named
-n_lines or n_dropped in the input are replaced.
+lines all go becomes the empty text. An empty table gives an empty result. Further columns stay as they are, whatever their names;
+columns named n_lines or n_dropped in the input are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, materialise, raw, slices, with_block
+from .common import LOWER, col, fresh, materialise, raw, slices, with_block
 
+_probes: dict = {}
 _STRIP = b" \t\n\v\f\r"
 LEVELS = 48
 
@@ -150,7 +152,7 @@ def counted(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
         lo, hi = _pair(list(counts)) if counts else (np.zeros(0, "u8"),) * 2
         return pa.RecordBatch.from_arrays([pa.array(lo.view("i8")), pa.array(hi.view("i8")), pa.array(list(counts.values()), pa.int64())], names=["lo", "hi", "n"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "lo long, hi long, n long").groupBy("lo", "hi").agg(F.sum("n").alias("n"))
+    return docs.select(col(text).cast("string").alias("text")).mapInArrow(run, "lo long, hi long, n long").groupBy("lo", "hi").agg(F.sum("n").alias("n"))
 
 
 def build_shards(frequent: DataFrame, keys_a_shard: int = 65536) -> tuple[DataFrame, int, int]:
@@ -176,23 +178,25 @@ def _without(lines: list[bytes], keys: list[bytes], gone) -> tuple[bytes, int, i
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def drop_shared_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, most_bytes: int = 64 << 20, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_shared_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, most_bytes: int = 64 << 20, block_bytes: int = 16 << 20, asked_a_part: int = 1 << 21) -> DataFrame:
     """All columns of docs, `text` without the lines that min_docs or more documents hold, and n_lines and n_dropped."""
     frequent = materialise(counted(docs, text, min_chars).where(F.col("n") >= min_docs), "lines")
     table, shards, n = build_shards(frequent)
-    docs = docs.drop(*[c for c in docs.columns if c in ("n_lines", "n_dropped")])
+    docs = docs.select(*[col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")])
     if 13 * n <= most_bytes:  # 8 bytes of fingerprint, 4 of count, about 4 bits of hash a key
         return _probe_here(docs, text, table, shards, min_docs, min_chars)
-    return _probe_there(docs, text, doc_id, table, shards, min_docs, min_chars, block_bytes)
+    return _probe_there(docs, text, table, shards, min_docs, min_chars, block_bytes, asked_a_part)
 
 
 def _probe_here(docs: DataFrame, text: str, table: DataFrame, shards: int, min_docs: int, min_chars: int) -> DataFrame:
     rows = {r.shard: (r.sizes, r.bits, r.rest, r.prints, r.counts) for r in table.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    shared, mark = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def probe(column: pa.Array) -> pa.Array:
-        arrays = {k: Shard.of(*v) for k, v in shared.value.items()}
-        out = []
+        if mark not in _probes:  # once a worker
+            _probes.clear()
+            _probes[mark] = {k: Shard.of(*v) for k, v in shared.value.items()}
+        arrays, out = _probes[mark], []
         for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
             split = [keys_of(data, min_chars) for data in raw(part.column(0))]
             distinct = list({k for _, keys in split for k in keys if k})
@@ -209,13 +213,16 @@ def _probe_here(docs: DataFrame, text: str, table: DataFrame, shards: int, min_d
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["text", "n_lines", "n_dropped"])
 
     probing = F.arrow_udf(probe, "text string, n_lines long, n_dropped long")
-    name = "_llm_kept"
-    out = docs.withColumn(name, probing(F.col(text).cast("string")))
-    return out.select(*[F.col(f"{name}.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], f"{name}.n_lines", f"{name}.n_dropped")
+    (name,) = fresh(docs.columns, "_kept")
+    out = docs.withColumn(name, probing(col(text).cast("string")))
+    return out.select(*[F.col(f"{name}.text").alias(c) if c == text else col(c) for c in docs.columns], f"{name}.n_lines", f"{name}.n_dropped")
 
 
-def _probe_there(docs: DataFrame, text: str, doc_id: str, table: DataFrame, shards: int, min_docs: int, min_chars: int, block_bytes: int) -> DataFrame:
-    blocked, _ = with_block(docs, doc_id, text, block_bytes, "_llm_block")
+def _probe_there(docs: DataFrame, text: str, table: DataFrame, shards: int, min_docs: int, min_chars: int, block_bytes: int, asked_a_part: int) -> DataFrame:
+    names, own_text = docs.columns, f"c{docs.columns.index(text)}"
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # grouped frames take plain names only
+    text, block = own_text, "block"
+    blocked = materialise(with_block(docs, text, block_bytes, block)[0], "blocked")
 
     def send(batches):
         for batch in batches:
@@ -242,11 +249,15 @@ def _probe_there(docs: DataFrame, text: str, doc_id: str, table: DataFrame, shar
         keys = {a.tobytes() for a in np.stack([lo, hi], axis=1)} if len(lo) else set()
         kept = [_without(*keys_of(x, min_chars), keys) for x in raw(own.column(text).combine_chunks().cast(pa.string()))]
         new, lines, dropped = zip(*kept, strict=True) if kept else ((), (), ())
-        own = own.set_column(own.schema.get_field_index(text), text, pa.array(new, pa.binary()).cast(pa.string())).drop_columns(["_llm_block"])
+        own = own.set_column(own.schema.get_field_index(text), text, pa.array(new, pa.binary()).cast(pa.string())).drop_columns([block])
         return own.append_column("n_lines", pa.array(lines, pa.int64())).append_column("n_dropped", pa.array(dropped, pa.int64()))
 
-    asked = blocked.select("_llm_block", F.col(text).cast("string").alias("text")).mapInArrow(send, "block int, shard int, lo long, hi long").dropDuplicates(["block", "shard", "lo", "hi"])
-    gone = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(ask, "block int, lo long, hi long")
+    asked = blocked.select(F.col(block).alias("block"), col(text).cast("string").alias("text")).mapInArrow(send, "block int, shard int, lo long, hi long").dropDuplicates(["block", "shard", "lo", "hi"])
+    asked = materialise(asked, "asked")
+    salts = max(1, -(-asked.count() // (shards * asked_a_part)))
+    asked = asked.withColumn("salt", F.pmod(F.col("lo"), F.lit(salts)).cast("int"))
+    everywhere = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    gone = asked.groupBy("shard", "salt").cogroup(everywhere.groupBy("shard", "salt")).applyInArrow(ask, "block int, lo long, hi long")
     fields = [T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in docs.schema.fields]
     out = T.StructType(fields).add("n_lines", "long").add("n_dropped", "long")
-    return blocked.groupBy("_llm_block").cogroup(gone.groupBy("block")).applyInArrow(apply, out)
+    return blocked.groupBy(block).cogroup(gone.groupBy("block")).applyInArrow(apply, out).toDF(*names, "n_lines", "n_dropped")

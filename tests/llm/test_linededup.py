@@ -47,6 +47,19 @@ def test_clashing_columns_and_empty(spark, docs, no_docs):
         assert linededup.drop_shared_lines(no_docs, most_bytes=most).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"same\nown {i}") for i in range(12)]
+    df = spark.createDataFrame([(*r, *[r[0]] * 6) for r in rows], "doc_id long, text string, _kept long, _block long, _llm_kept long, `a.b` long, `n_dropped` long, _kept_ long")
+    for most in (64 << 20, -1):
+        got = linededup.drop_shared_lines(df, most_bytes=most)
+        assert got.columns == ["doc_id", "text", "_kept", "_block", "_llm_kept", "a.b", "_kept_", "n_lines", "n_dropped"]
+        assert all((r.text, r._kept, r._block, r["a.b"], r["_kept_"]) == (f"own {r.doc_id}", *[r.doc_id] * 4) for r in got.collect())
+
+
+def test_a_shard_that_is_asked_much_is_probed_in_parts(docs, rows):
+    assert digest(linededup.drop_shared_lines(docs, min_docs=2, most_bytes=-1, block_bytes=5000, asked_a_part=40)) == brute(rows, 2)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=400), st.sets(st.integers(0, 2**64 - 1), max_size=50))
 def test_perfect_hash(own, others):
