@@ -6,8 +6,8 @@ that no frequent length is rounded up. For these few sizes, configurations that
 by dynamic programming, largest size first, and each is used as often as its sizes last. Actual documents then take the
 places of their group, which leaves room that is known again from their own lengths; small lengths go, largest first, where
 they leave the least room. The plan is made from a table of counts by length, whose size doesn't depend on the data; a row
-finds its sequence by its rank among the rows of its length. Ranks are counted within salted parts of a length, so that a
-length that a third of all rows share is no task's burden.
+finds its sequence by its rank among the rows of its length. Ranks are counted within salted parts of a length, as many as its
+rows need at `rows_a_part` each, so that a length that a third of all rows share is no task's burden at any scale.
 
 Null text counts as empty: one piece with the end id only. Repeated rows are packed each on its own. An empty table gives an
 empty result. Other columns than the two named are not read; long texts are cut into pieces of full capacity but for the
@@ -237,31 +237,32 @@ class Plan:
         return {k: tuple(np.array(c, np.int64) for c in zip(*sorted(v), strict=True)) for k, v in by.items()}
 
 
-def pack(lengths: DataFrame, capacity: int = 1024, keys: tuple[str, ...] = ("doc_id", "piece"), salts: int = 64, groups: int = 448) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = 1024, keys: tuple[str, ...] = ("doc_id", "piece"), rows_a_part: int = 1 << 19, groups: int = 448) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` of 1 to capacity. `lengths` is read twice: pass a written table."""
-    salted = lengths.withColumn("_salt", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    how_many = {r.length: r.n for r in lengths.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    salts = {k: -(-n // rows_a_part) for k, n in how_many.items()}
+    split = [F.lit(x).cast("long") for k, s in sorted(salts.items()) if s > 1 for x in (k, s)]
+    fan = F.coalesce(F.element_at(F.create_map(*split), F.col("length")), F.lit(1)) if split else F.lit(1)
+    salted = lengths.withColumn("_salt", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), fan).cast("int"))
     salted = materialise(salted.withColumn("_nth", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys)).cast("long") - 1), "ranked")
-    parts = sorted((r.length, r["_salt"], r.n) for r in salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect())  # at most capacity x salts rows
-    before, counts = {}, defaultdict(int)
-    for length, salt, n in parts:
-        before[length, salt] = counts[length]
-        counts[length] += n
-    first = np.zeros((capacity + 1, salts), np.int64)
-    for (length, salt), n in before.items():
-        first[length, salt] = n
-    shared = lengths.sparkSession.sparkContext.broadcast((first, Plan(counts, capacity, groups).tables()))
+    first = {k: np.zeros(s, np.int64) for k, s in salts.items()}  # ranks before each part
+    for r in salted.where(F.col("_salt") + 1 < fan).groupBy("length", "_salt").agg(F.count("*").alias("n")).collect():
+        first[r.length][r["_salt"] + 1] = r.n
+    first = {k: np.cumsum(n) for k, n in first.items()}
+    shared = lengths.sparkSession.sparkContext.broadcast((first, Plan(how_many, capacity, groups).tables()))
     schema = T.StructType([*lengths.schema.fields]).add("sequence_id", "long").add("offset", "long")
 
     def run(batches):
         first, tables = shared.value
         for batch in batches:
             length, salt, nth = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_salt", "_nth"))
-            rank, sequence, offset = first[length, salt] + nth, np.zeros(len(nth), np.int64), np.zeros(len(nth), np.int64)
+            sequence, offset = np.zeros(len(nth), np.int64), np.zeros(len(nth), np.int64)
             for k in np.unique(length):
                 own = length == k
                 starts, bases, offsets = tables[int(k)]
-                at = np.searchsorted(starts, rank[own], side="right") - 1
-                sequence[own] = bases[at] + rank[own] - starts[at]
+                rank = first[int(k)][salt[own]] + nth[own]
+                at = np.searchsorted(starts, rank, side="right") - 1
+                sequence[own] = bases[at] + rank - starts[at]
                 offset[own] = offsets[at]
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("_salt", "_nth")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=schema.names)
@@ -271,4 +272,4 @@ def pack(lengths: DataFrame, capacity: int = 1024, keys: tuple[str, ...] = ("doc
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents."""
-    return pack(pieces(docs, tokenizer, capacity, end_id, doc_id, text), capacity)
+    return pack(materialise(pieces(docs, tokenizer, capacity, end_id, doc_id, text), "pieces"), capacity)

@@ -97,6 +97,22 @@ def test_a_hot_length_below_a_rare_longer_one_is_not_rounded_up(hot):
     assert sum(n for _, _, n, _, _ in plan.places) == 1_000_001
 
 
+def test_a_length_is_ranked_in_parts_of_bounded_size(spark):
+    """A length with most rows: no part of it is ranked with more rows than it should, and places have no gaps."""
+    rng = random.Random(4)
+    rows = [(i, 0, 512 if i % 3 else rng.randint(1, 1024)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    for a_part in (100, 1 << 19):
+        got = packing.pack(df, rows_a_part=a_part).collect()
+        filled = defaultdict(list)
+        for r in got:
+            filled[r.sequence_id].append((r.offset, r.length))
+        assert len(got) == 3000 and sorted((r.doc_id, r.length) for r in got) == sorted((i, n) for i, _, n in rows)
+        assert set(filled) == set(range(len(filled))) and len(filled) <= 1.02 * -(-sum(n for _, _, n in rows) // 1024)
+        for parts in filled.values():
+            assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
+
+
 def test_hot_lengths_among_many_others():
     rng = random.Random(2)
     counts = defaultdict(int)
