@@ -3,13 +3,14 @@
 A word's embedding joins four hashed parts: two of the whole word by independent hashes, one of its first four and one of its
 first six characters. Filters of one, two and three words slide over a text, the greatest response of each filter feeds a
 logistic output. All of it is trained in numpy on a bounded sample of labelled rows (`max_rows`, by a hash of the id, of texts
-of at most `max_chars` characters); parts of embeddings that too few sample rows hold stay zero. A quarter of the sample is
+of at most `max_bytes` bytes and `total_bytes` together); parts of embeddings that too few sample rows hold stay zero. A quarter
+of the sample is
 kept from training and used to calibrate a threshold for each language, which is guessed from the text's function words; the
 score is shifted by language so that its threshold stands at 0.7.
 
 Only the text makes the score; labels of rows with crc32(id) mod 3 = 1 are never read. Null text counts as empty, which has
 the score of a text without any response. Labels that are null or of unknown ids are skipped, of repeated labels the larger
-counts. Without both classes in the sample every score is 0. Repeated rows get equal scores; an empty table gives an empty
+counts, of repeated ids with several texts the one with the least hash is learned. Without both classes in the sample every score is 0. Repeated rows get equal scores; an empty table gives an empty
 result; clashing columns of the input stay as they are.
 """
 
@@ -18,10 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, raw, slices
+from .common import LOWER, col, crc_mod, raw, slices
 
 PART, WIDTHS, FILTERS = 4, (1, 2, 3), (12, 4, 4)
 SIZES = (1 << 18, 1 << 18, 1 << 16, 1 << 16)
@@ -265,12 +266,17 @@ class Scorer:
         return np.max([self.net.responses(self.parts[own[a : a + step + over]])[: min(step, n - a)].max(axis=0) for a in range(0, n, step)], axis=0)[None]
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_chars: int = 1 << 20) -> pa.Table:
-    """(label, text) of at most max_rows labelled rows outside the held-out third."""
-    rows = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(crc_mod(doc_id, 3) != 1)
-    chosen = rows.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label")).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_rows)
-    own = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).where(F.length("_text") <= max_chars)
-    return own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").select("_label", "_text").toArrow()
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_bytes: int = 1 << 20, total_bytes: int = 96 << 20) -> pa.Table:
+    """(label, text) of at most max_rows labelled rows outside the held-out third, with total_bytes of text at most."""
+    rows = labels.where(col(label).isNotNull() & col(doc_id).isNotNull()).select(col(doc_id).alias("id"), col(label).cast("int").alias("label")).where(crc_mod("id", 3) != 1)
+    known = rows.groupBy("id").agg(F.max("label").alias("label"))
+    texts = docs.select(col(doc_id).alias("id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
+    sized = texts.select("id", F.struct("body", F.octet_length("text").alias("size")).alias("one")).where(F.col("one.size") <= max_bytes)
+    order = [F.xxhash64(F.col("id").cast("string")), F.col("id")]
+    chosen = sized.join(known, "id").groupBy("id", "label").agg(F.min("one").alias("one")).select("id", "label", "one.*").orderBy(*order).limit(max_rows)
+    within = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of max_rows rows at most
+    chosen = chosen.withColumn("sum", within).where(F.col("sum") <= total_bytes).select("id", "label", "body")
+    return texts.join(F.broadcast(chosen), ["id", "body"]).dropDuplicates(["id"]).orderBy(*order).select("label", "text").toArrow()
 
 
 def train(rows: pa.Table) -> Net:
@@ -316,11 +322,11 @@ def with_score(docs: DataFrame, net: Net, text: str = "text", name: str = "score
             out.append(scorer.net.scores(logits, langs))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(text).cast("string")))
+    return docs.withColumn(name, F.arrow_udf(run, "double")(col(text).cast("string")))
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     net = model(docs, labels, doc_id=doc_id, text=text)
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), (crc_mod(doc_id, 3) == 1).alias("held_out"), F.col(text).alias("text"))
+    narrow = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).withColumn("held_out", crc_mod("doc_id", 3) == 1)
     return with_score(narrow, net).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -57,6 +57,46 @@ def test_one_class_empty_and_clashing_columns(spark, no_docs):
     assert toxicity.score(no_docs, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def slow_logit(net, words):
+    """One text through the net in plain loops."""
+    rows = [[float(x) for k, p in enumerate(toxicity.places(w)) for x in net.tables[k][p]] for w in words] or [[0.0] * (toxicity.PART * len(toxicity.SIZES))]
+    total, at = float(net.shift), 0
+    for f in net.filters:
+        for k in range(f.shape[2]):
+            top = max(sum(rows[i + j][d] * float(f[j, d, k]) for j in range(f.shape[0]) if i + j < len(rows) for d in range(len(rows[0]))) for i in range(len(rows)))
+            total += max(0.0, top + float(net.bias[at])) * float(net.out[at])
+            at += 1
+    return total
+
+
+def test_scores_against_a_slow_forward_pass():
+    docs, labels = corpus(400)
+    import pyarrow as pa
+
+    kept = dict(labels)
+    net = toxicity.train(pa.table({"label": [kept[i] for i, *_ in docs], "text": [t for _, t, _ in docs]}))
+    scorer, texts = toxicity.Scorer(net), [t.encode() for _, t, _ in docs[:25]] + [b"", b"idiot", b"Idiot, MORON!", b"two words"]
+    logits, langs = scorer.logits(texts)
+    for got, lang, score, text in zip(logits, langs, net.scores(logits, langs), texts, strict=True):
+        want = slow_logit(net, toxicity.tokens(text))
+        z = net.slope * (want - net.thresholds[lang]) + np.log(0.7 / 0.3)
+        assert abs(got - want) < 1e-3 and abs(score - 1 / (1 + np.exp(-z))) < 1e-3
+
+
+def test_sample_is_bounded_and_does_not_depend_on_order(spark):
+    docs, labels = corpus(200)
+    rows = [(i, t) for i, t, _ in docs] + [(docs[0][0], "another text"), (docs[1][0], docs[1][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([*labels, *[(10_000 + i, 1) for i in range(500)]], "doc_id long, toxic int")
+    a, b = (toxicity.sample(x, y).to_pylist() for x in (d, d.orderBy("text").repartition(5)))
+    assert a == b and len(a) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in labels)
+    few = toxicity.sample(d, y, max_rows=30).to_pylist()
+    assert few == a[:30]
+    small = toxicity.sample(d, y, total_bytes=5000).to_pylist()
+    assert 0 < len(small) < len(a) and sum(len(r["text"].encode()) for r in small) <= 5000 and small == a[: len(small)]
+    assert max(len(r["text"]) for r in toxicity.sample(d, y, max_bytes=300).to_pylist()) <= 300
+
+
 def test_long_texts_in_windows():
     net = toxicity.Net()
     rng = np.random.default_rng(1)
