@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, slices
+from .common import col, raw, slices
 
 WIDTH = 64
 _SPACE = b" \t\n\v\f\r"
@@ -40,11 +40,29 @@ def _header(data: bytes, n: int) -> tuple[list[int], int]:
             to += 1
         if to == at:
             raise ValueError("bad Netpbm header")
+        if to - at > 9:
+            raise ValueError("a number in the header is too large")
         out.append(int(data[at:to]))
         at = to
     return out, at + 1
 
 
+def _samples(data: bytes, kind, count: int, at: int) -> np.ndarray:
+    """`count` samples as they stand in the bytes; fewer are an error before anything is reserved for them."""
+    if at + count * np.dtype(kind).itemsize > len(data):
+        raise ValueError("samples are missing")
+    return np.frombuffer(data, kind, count, at)
+
+
+def _numbers(words: list[bytes], most: int) -> np.ndarray:
+    if any(not w.isdigit() or len(w) > 9 for w in words):
+        raise ValueError("a sample is no number")
+    out = np.array(words, dtype=np.int64)
+    if len(out) and out.max() > most:
+        raise ValueError("a sample is above the maximum")
+    return out
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
     """(height, width) or (height, width, 3); 8-bit or 16-bit samples, bits as 0 (black) and 255."""
     kind = data[1:2]
@@ -58,15 +76,20 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("bad maximum")
     n = w * h * depth
     if kind == b"4":
-        rows = np.frombuffer(data, np.uint8, h * -(-w // 8), at).reshape(h, -1)
+        rows = _samples(data, np.uint8, h * -(-w // 8), at).reshape(h, -1)
         out = (1 - np.unpackbits(rows, axis=1)[:, :w]) * np.uint8(255)
     elif kind in b"56":
-        out = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at).astype(np.uint8 if most < 256 else np.uint16, copy=False)
+        out = _samples(data, np.uint8 if most < 256 else ">u2", n, at).astype(np.uint8 if most < 256 else np.uint16, copy=False)
     else:
         text = data[at - 1 :]
         text = b"\n".join(x.partition(b"#")[0] for x in text.split(b"\n"))
-        out = np.array([c for c in text.translate(None, _SPACE)][:n], np.int64) - 48 if kind == b"1" else np.array(text.split()[:n], dtype=np.int64)
-        out = (1 - out) * 255 if kind == b"1" else out
+        if kind == b"1":
+            digits = np.frombuffer(text.translate(None, _SPACE), np.uint8)[:n].astype(np.int64) - 48
+            if len(digits) and (digits.min() < 0 or digits.max() > 1):
+                raise ValueError("a bit is neither 0 nor 1")
+            out = (1 - digits) * 255
+        else:
+            out = _numbers(text.split(None, n)[:n], most)
         out = out.astype(np.uint8 if most < 256 else np.uint16)
     if out.size != n:
         raise ValueError("samples are missing")
@@ -74,19 +97,28 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """(height, width, 3) in the order red, green, blue."""
+    """(height, width, 3) in the order red, green, blue. Bit fields are read where each colour is a whole byte of four."""
     if data[:2] != b"BM":
         raise ValueError("not BMP")
     at, size, w, h, _, bits, packed = struct.unpack_from("<I I i i H H I", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32) or w <= 0 or h == 0:
+    if packed not in (0, 3) or bits not in (8, 24, 32) or w <= 0 or h == 0 or packed == 3 and bits != 32:
         raise ValueError("unsupported BMP")
+    order = [2, 1, 0]
+    if packed == 3:
+        masks = struct.unpack_from("<III", data, 54)
+        if set(masks) - {0xFF << k for k in (0, 8, 16, 24)} or len(set(masks)) < 3:
+            raise ValueError("unsupported bit fields")
+        order = [m.bit_length() // 8 - 1 for m in masks]
     stride = (w * bits // 8 + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * bits // 8]
+    rows = _samples(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * bits // 8]
     rows = rows[::-1] if h > 0 else rows
     if bits == 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 256
-        return np.frombuffer(data, np.uint8, colours * 4, 14 + size).reshape(-1, 4)[:, 2::-1][rows]
-    return rows.reshape(abs(h), w, bits // 8)[:, :, 2::-1]
+        palette = _samples(data, np.uint8, colours * 4, 14 + size).reshape(-1, 4)[:, 2::-1]
+        if int(rows.max()) >= colours:
+            raise ValueError("a sample is beyond the palette")
+        return palette[rows]
+    return rows.reshape(abs(h), w, bits // 8)[:, :, order]
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -174,14 +206,14 @@ def decode_media(media: DataFrame, key: str, column: str, side: int = 32) -> Dat
                             raise ValueError("no media")
                         image = decode(data)
                         out.append((image.shape[0], image.shape[1], 1 if image.ndim == 2 else 3, npy_tile(image, side), difference_hash(image), None))
-                    except (ValueError, struct.error, IndexError) as e:
+                    except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as e:
                         out.append((None, None, None, None, None, str(e)))
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["key", "height", "width", "channels", "tile", "dhash", "error"])
 
     schema = T.StructType([T.StructField("key", media.schema[key].dataType)]).add("height", "integer").add("width", "integer").add("channels", "integer").add("tile", "binary").add("dhash", "string").add("error", "string")
-    return media.select(F.col(key).alias("key"), F.col(column).alias("media")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return media.select(col(key).alias("key"), col(column).alias("media")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", side: int = 32) -> DataFrame:
