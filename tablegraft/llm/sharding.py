@@ -1,12 +1,14 @@
 """Operator 4: sharding by fixed virtual slots, with DataFrame and SQL functions only.
 
-A record's hash decides its virtual slot, one of thousands; bytes are summed by slot, and a versioned map says which shard
-each slot belongs to. Balancing works on the map alone, whose size doesn't depend on the data. A slot that holds more than
+A record's hash decides its virtual slot, one of thousands (more where slots would have over ROWS_A_SLOT rows); bytes are summed
+by slot, and a versioned map, stored as a table, says which shard each slot belongs to. Its first version deals the slots evenly
+by their numbers of rows; it is then edited by the bytes, slot by slot, and records take their shards from the newest version as
+it was stored. Balancing works on the map alone. A slot that holds more than
 an eighth of a shard's fair share (a key or repeated row with a great part of all bytes) is split into that many sub-slots
 over its rows' ordinal numbers; the map has a row for each sub-slot, at most slots + 8 x shards in all.
 
-Law `bytes`: slots go, largest first, to the shard with the fewest bytes, so the sizes of shards differ by less than the
-largest sub-slot. Null text has no bytes, null ids are an ordinary key. Repeated rows each take a place of their own. An
+Law `bytes`: slots move from the fullest to the emptiest shard while that helps and the two differ by more than `within` of a
+fair share. Null text has no bytes, null ids are an ordinary key. Repeated rows each take a place of their own. An
 empty table gives an empty result. Other columns than the two named are not read.
 """
 
@@ -14,15 +16,17 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import col, materialise, shared_dir
 
-SLOTS = 4096
+SLOTS, MOST_SLOTS, ROWS_A_SLOT = 4096, 1 << 18, 1 << 20
 OVERHEAD = 16
+MAP = "slot int, sub int, shard int, rows bigint, bytes bigint, first bigint, shards int, version int"
 
 
 @dataclass
@@ -35,13 +39,14 @@ class SlotMap:
     version: int = 0
 
     @classmethod
-    def balanced(cls, shards: int, size: dict[tuple[int, int], tuple[int, int]]) -> SlotMap:
+    def balanced(cls, shards: int, size: dict[tuple[int, int], tuple[int, int]], by: int = 1) -> SlotMap:
+        """The first version: slots, largest first, to the shard with the least, by bytes or (0) by rows."""
         out = cls(shards, size)
         loads = [(0, s) for s in range(shards)]
-        for key in sorted(size, key=lambda k: (-size[k][1], k)):
+        for key in sorted(size, key=lambda k: (-size[k][by], k)):
             load, to = heapq.heappop(loads)
             out.shard[key] = to
-            heapq.heappush(loads, (load + size[key][1], to))
+            heapq.heappush(loads, (load + size[key][by], to))
         out.version = 1
         return out
 
@@ -86,14 +91,19 @@ class SlotMap:
             s = min(range(self.shards), key=lambda s: (loads[s], s))
             out.shard[k], loads[s] = s, loads[s] + size[k][1]
         share = max(1.0, sum(loads) / self.shards)
-        for _ in range(len(size)):
+        held: dict[int, set] = {s: set() for s in range(self.shards)}
+        for k, s in out.shard.items():
+            held[s].add(k)
+        for _ in range(4 * len(size)):
             full, low = max(range(self.shards), key=lambda s: (loads[s], -s)), min(range(self.shards), key=lambda s: (loads[s], s))
             gap = loads[full] - loads[low]
-            able = [k for k, s in out.shard.items() if s == full and 0 < size[k][1] < gap]
+            able = [k for k in held[full] if 0 < size[k][1] < gap]
             if gap <= within * share or not able:
                 break
             k = min(able, key=lambda k: (abs(gap / 2 - size[k][1]), k))
             out.shard[k] = low
+            held[full].remove(k)
+            held[low].add(k)
             loads[full] -= size[k][1]
             loads[low] += size[k][1]
         return out
@@ -117,30 +127,38 @@ class SlotMap:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        table = spark.read.parquet(path)
+        table = spark.read.schema(MAP).parquet(path)
         version = table.agg(F.max("version")).first()[0] if version is None else version
         rows = table.where(F.col("version") == version).collect()
         return cls(rows[0].shards, {(r.slot, r.sub): (r["rows"], r.bytes) for r in rows}, {(r.slot, r.sub): r.shard for r in rows}, version)
 
 
-def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """One narrow row for each record, written once: id, size, checksum, virtual slot, and an ordinal number."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One narrow row for each record, written once: id, size, checksum, the hash that decides its slot, and an ordinal number."""
+    body = F.coalesce(col(text).cast("string"), F.lit("")).cast("binary")
     return materialise(
         docs.select(
-            F.col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + OVERHEAD).alias("size"), F.crc32(body).alias("text_crc32"),
-            F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("slot")), F.lit(slots)).cast("int").alias("virtual_slot"),
-            F.monotonically_increasing_id().alias("ordinal"),
+            col(doc_id).alias("doc_id"), (F.octet_length(body).cast("long") + OVERHEAD).alias("size"), F.crc32(body).alias("text_crc32"),
+            F.xxhash64(col(doc_id).cast("string"), F.lit("slot")).alias("hash"), F.monotonically_increasing_id().alias("ordinal"),
         ),
         "records",
     )
 
 
-def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+def slots_for(rows: int, least: int = SLOTS, rows_a_slot: int = ROWS_A_SLOT) -> int:
+    """Doubled until a slot has no more rows than it should on average."""
+    while least < MOST_SLOTS and rows > least * rows_a_slot:
+        least *= 2
+    return least
+
+
+def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None, within: float = 0.001) -> DataFrame:
     """Law `bytes`: (doc_id, size, text_crc32, virtual_slot, sub, shard, slot, map_version). `slot` is a record's place in its
-    shard, gapless from 0; with map_path the slot-to-shard map is stored there as a new version."""
+    shard, gapless from 0. The slot-to-shard map's versions are stored at map_path, a new folder in the shared one by default."""
     spark = docs.sparkSession
-    base = records(docs, doc_id, text, slots)
+    map_path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    base = records(docs, doc_id, text)
+    base = base.withColumn("virtual_slot", F.pmod("hash", F.lit(slots_for(base.count(), slots))).cast("int"))
     by_slot = base.groupBy("virtual_slot").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()  # at most `slots` rows
     most = max(1, sum(r.b for r in by_slot) // (8 * shards))
     fans = {r.virtual_slot: min(r.n, -(-r.b // most)) for r in by_slot if r.b > most and r.n > 1}
@@ -151,10 +169,12 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     else:
         base = base.withColumn("sub", F.lit(0))
         sizes = {(r.virtual_slot, 0): (r.n, r.b) for r in by_slot}
-    plan = SlotMap.balanced(shards, sizes)
-    if map_path:
-        plan.save(spark, map_path)
-    places = F.broadcast(plan.frame(spark).select(F.col("slot").alias("virtual_slot"), "sub", "shard", "first", F.col("version").alias("map_version")))
+    even = SlotMap.balanced(shards, sizes, by=0)
+    even.save(spark, map_path)
+    plan = even.rebalanced(sizes, within)
+    plan.save(spark, map_path)
+    stored = spark.read.schema(MAP).parquet(map_path).where(F.col("version") == plan.version)  # a row for each sub-slot
+    places = F.broadcast(stored.select(F.col("slot").alias("virtual_slot"), "sub", "shard", "first", F.col("version").alias("map_version")))
     within = Window.partitionBy("virtual_slot", "sub").orderBy("doc_id", "ordinal")
     return (
         base.withColumn("nth", F.row_number().over(within).cast("long") - 1)

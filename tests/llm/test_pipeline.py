@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablegraft.llm import queries
@@ -31,8 +32,6 @@ def test_stages(spark, folder):
     lines = corpus_pipeline.drop_lines(spark, kept, folder)
     assert lines.columns == columns and lines.schema == kept.schema and lines.count() == len(rows)
     assert {r.n_chars == len(r.text) for r in lines.collect()} == {True}
-    from pyspark.sql import functions as F
-
     got = {(r.doc_id, r.h) for r in lines.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).collect()}
     assert got == {(i, h) for i, _, _, h in brute(rows, 10)}
     after = [tuple(r) for r in lines.collect()]
@@ -54,3 +53,18 @@ def test_registered(spark, folder):
 
     names = __spark_entry__.queries()
     assert {*queries.QUERIES, "pipeline"} <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_clashing_columns_long_texts_and_empty_tables(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long_ = spark.createDataFrame([(3000, "a long text of many words " * 40_000)], "doc_id long, text string")
+    odd = docs.unionByName(long_, allowMissingColumns=True)
+    names = ["_score", "_SCORE_", "_kept", "_own", "n_lines", "a.b", "_body", "_one", "body", "fp"]
+    odd = odd.select(*docs.columns, *[F.col("doc_id").alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, odd, folder)
+        assert got.columns == odd.columns and got.schema["text"].dataType == odd.schema["text"].dataType, name
+        rows = got.collect()
+        assert len(rows) > 100 and any(r.doc_id == 3000 for r in rows) and all(r[c] == r.doc_id for r in rows for c in names), name
+        assert stage(spark, odd.where("false"), folder).count() == 0, name
+    assert corpus_pipeline.pack(spark, odd.where("false"), folder).count() == 0

@@ -39,6 +39,21 @@ def test_balance(spark):
     assert len(loads) == 40 and loads[-1] - loads[0] < 0.02 * loads[0]
 
 
+def test_the_map_is_stored_and_edited(spark, tmp_path):
+    """Version 1 deals slots by rows; version 2 moves some by bytes, and the records follow it."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("z"), F.when(F.col("id") % 50 == 0, 9000).otherwise(10).cast("int")).alias("text"))
+    got = sharding.shard(docs, 6, slots=256, map_path=str(tmp_path / "map")).collect()
+    first, second = (SlotMap.load(spark, str(tmp_path / "map"), v) for v in (1, 2))
+    moved = sum(first.shard[k] != s for k, s in second.shard.items())
+    assert 0 < moved < len(second.shard) and {r.map_version for r in got} == {2} and all(second.shard[r.virtual_slot, r["sub"]] == r.shard for r in got)
+    rows = [0] * 6
+    for k, s in first.shard.items():
+        rows[s] += first.size[k][0]
+    assert max(rows) - min(rows) <= max(n for n, _ in first.size.values())
+    assert max(second.loads()) - min(second.loads()) < 0.2 * (max(first.loads()) - min(first.loads()))
+    assert sharding.slots_for(10) == 4096 and sharding.slots_for(10**10) == 16384 and sharding.slots_for(10**15) == sharding.MOST_SLOTS
+
+
 def test_empty(no_docs):
     assert sharding.shard(no_docs, 40).count() == 0
 
