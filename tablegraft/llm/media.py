@@ -145,10 +145,14 @@ def _axis(n: int, to: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def area_resize(image: np.ndarray, height: int, width: int, block: int = 4096) -> np.ndarray:
-    """Area means (float64) on a grid of height x width cells, by the integral image at the cells' borders."""
+    """Area means (float64) on a grid of height x width cells, by the integral image at the cells' borders. What is held beside the
+    image grows with its shorter side, if the longer one has more than `block` samples."""
     h, w = image.shape[:2]
     if not h or not w:
         return np.zeros((height, width) + image.shape[2:])
+    if w > max(h, block):
+        return area_resize(image.swapaxes(0, 1), width, height, block).swapaxes(0, 1)
+    block = max(1, min(block, (1 << 22) // w))
     rows, part = _axis(h, height)
     cols, cpart = _axis(w, width)
     borders = np.zeros((height + 1, w) + image.shape[2:])

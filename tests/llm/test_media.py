@@ -1,6 +1,7 @@
 import hashlib
 import io
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -25,6 +26,16 @@ def test_area_resize_is_the_area_mean(h, w, height, width, block, colour, seed):
     assert np.allclose(media.area_resize(image, height, width, block), slow_resize(image, height, width))
 
 
+def test_a_long_row_is_resized_like_a_long_column():
+    image = np.random.default_rng(3).integers(0, 256, (3, 1 << 20, 3)).astype(np.uint8)
+    tracemalloc.start()
+    wide = media.area_resize(image, 2, 32)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20
+    assert np.allclose(wide[:, 0], image[:, : 1 << 15].astype(float).reshape(3, -1, 3).mean(axis=1)[[0, 2]] * 2 / 3 + image[1, : 1 << 15].mean(axis=0) / 3)
+
+
 def test_formats_decode():
     grey = np.arange(12, dtype=np.uint8).reshape(3, 4)
     assert np.array_equal(media.decode(media.encode_pgm(grey)), grey)
