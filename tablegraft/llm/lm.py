@@ -6,10 +6,13 @@ the network, within which a word has its smoothed share of their tokens, and so
 A token's symbol is predicted from the word before it and the group of the word before that (the GROUPS - 2 most frequent words,
 any other word, none): P(token | context) = P(symbol | context) x P(word | symbol), both factors normalised.
 
-What is learned comes from all training texts: counts of all tokens, which stay a distributed table, and counts of all triples of
-group, word and word, from which `draws` are taken in proportion. The network is trained on these in numpy by noise-contrastive
-estimation. Normalisers of all contexts then come from batched matrix products, spread over tasks; a token's log-probability is
-a product of two vectors less its context's normaliser.
+What is learned comes from all training texts: counts of all tokens, which stay a distributed table, and every token as a triple of
+group, word and word, by noise-contrastive estimation in numpy. Up to `draws` tokens, the driver trains on all triples. Beyond, it
+only makes a start, from `draws` of them in proportion to their counts; tasks then train on every token of every training text, once
+each: in each of ROUNDS rounds all tasks begin with the same network and take their share of the texts, and the mean of what they make, by
+tokens learned, is the next round's network. Means are made in pieces, so that neither a task nor the driver holds all networks.
+Normalisers of all contexts then come from batched matrix products, spread over tasks; a token's log-probability is a product of two
+vectors less its context's normaliser.
 
 The count of every token has to reach every text that holds it. Texts are dealt into blocks of bounded size; a block sends
 each distinct token once with its own count, the sums go back to the block, and texts are read beside them. Counts of frequent
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +41,8 @@ from .common import crc_mod, col, materialise, raw, shared_dir, slices, with_blo
 
 WORDS_FOR, MOST_WORDS, DIM, GROUPS = 2048, 16384, 32, 32
 DRAWS = 1 << 22
+ROUNDS, PIECE = 4, 1 << 12
+TASKS, BLOCKS_A_TASK = 8, 8  # tasks of a round: so many, or more where each would have more blocks
 BUCKETS = 20_000  # a bucket holds several blocks beyond; Spark's own limit is 100,000
 END = b"\n"  # no word holds it
 
@@ -104,6 +110,29 @@ class Network:
     target: np.ndarray
     bias: np.ndarray
     log_z: np.ndarray | None = None
+    seen: list[np.ndarray] | None = None  # sums of squared gradients of the four above, by row
+
+    @classmethod
+    def start(cls, unigram: np.ndarray, rng: np.random.Generator) -> Network:
+        """Symbols are as likely as they are frequent."""
+        n = len(unigram)
+        net = cls(rng.normal(0, 0.3, (n + 1, DIM)).astype(np.float32), rng.normal(0, 0.3, (GROUPS, DIM)).astype(np.float32), np.zeros((n, DIM), np.float32), np.log(unigram).astype(np.float32))
+        net.seen = [np.full(p.shape[:1] + (1,) * (p.ndim - 1), 1e-2, np.float32) for p in net.learned()]
+        return net
+
+    def learned(self) -> list[np.ndarray]:
+        return [self.last, self.group, self.target, self.bias]
+
+    def flat(self) -> np.ndarray:
+        """All that training moves, as one vector."""
+        return np.concatenate([x.ravel() for x in (*self.learned(), *self.seen)])
+
+    def like(self, flat: np.ndarray) -> Network:
+        """A network of this one's shape from such a vector."""
+        own = [*self.learned(), *self.seen]
+        parts = np.split(flat, np.cumsum([x.size for x in own])[:-1])
+        made = [x.astype(np.float32).reshape(y.shape) for x, y in zip(parts, own, strict=True)]
+        return Network(*made[:4], seen=made[4:])
 
     def normalisers(self, last: np.ndarray) -> np.ndarray:
         """Natural logarithms of the sums over all symbols, for these words in each group."""
@@ -132,42 +161,49 @@ def _sums(rows: np.ndarray, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[first], np.add.reduceat(gradients[order], first, axis=0)
 
 
-def train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], unigram: np.ndarray, epochs: int = 2, batch: int = 2048, noise: int = 96, rate: float = 0.12, seed: int = 7) -> Network:
-    """A network from (group, last word, symbol) draws by noise-contrastive estimation; noise is the symbols' own frequency. It
-    starts from these frequencies: without draws it stays there."""
-    rng = np.random.default_rng(seed)
-    n, groups, (g_all, w_all, s_all) = len(unigram), GROUPS, triples
-    log_noise = np.log(unigram)
-    net = Network(rng.normal(0, 0.3, (n + 1, DIM)).astype(np.float32), rng.normal(0, 0.3, (groups, DIM)).astype(np.float32), np.zeros((n, DIM), np.float32), log_noise.astype(np.float32))
-    odds, ends = (np.log(noise) + log_noise).astype(np.float32), np.cumsum(unigram)
-    seen = {id(p): np.full(p.shape[:1] + (1,) * (p.ndim - 1), 1e-2, np.float32) for p in (net.last, net.group, net.target, net.bias)}
-
-    def move(p: np.ndarray, rows: np.ndarray, gradients: np.ndarray, scale: float) -> None:
+class Noise:
+    """Noise is the symbols' own frequency; `step` moves a network by one batch of (group, last word, symbol)."""
+
+    def __init__(self, unigram: np.ndarray, each: int, rng: np.random.Generator):
+        self.each, self.rng, self.ends = each, rng, np.cumsum(unigram)
+        self.odds = (np.log(each) + np.log(unigram)).astype(np.float32)
+
+    def step(self, net: Network, g: np.ndarray, w: np.ndarray, s: np.ndarray, scale: float) -> None:
+        odds, ends = self.odds, self.ends
+        other = np.minimum(np.searchsorted(ends, self.rng.random(self.each) * ends[-1], side="right"), len(ends) - 1)
+        q = net.last[w] + net.group[g]
+        true = np.einsum("nd,nd->n", q, net.target[s]) + net.bias[s] - odds[s]
+        false = q @ net.target[other].T + net.bias[other] - odds[other]
+        dt = (-1 / (1 + np.exp(true.clip(-30, 30)))).astype(np.float32)  # of -log sigmoid(true)
+        df = (1 / (1 + np.exp(-false.clip(-30, 30)))).astype(np.float32)  # of -log sigmoid(-false)
+        dq = dt[:, None] * net.target[s] + df @ net.target[other]
+        symbols = np.concatenate([s, other])
+        dtarget = np.concatenate([dt[:, None] * q, df.T @ q])
+        last, group, target, bias = zip(net.learned(), net.seen, strict=True)
+        self.move(*target, symbols, dtarget, scale)
+        self.move(*bias, symbols, np.concatenate([dt, df.sum(axis=0)]), scale * 0.5)
+        self.move(*last, w, dq, scale)
+        self.move(*group, g, dq, scale)
+
+    @staticmethod
+    def move(p: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradients: np.ndarray, scale: float) -> None:
         rows, total = _sums(rows, gradients)
-        squares = seen[id(p)]
         squares[rows] += (total**2).mean(axis=1, keepdims=True) if p.ndim > 1 else total**2
         p[rows] -= scale * total / np.sqrt(squares[rows])
 
+
+def train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], unigram: np.ndarray, epochs: int = 2, batch: int = 2048, noise: int = 96, rate: float = 0.12, seed: int = 7) -> Network:
+    """A network from (group, last word, symbol) draws by noise-contrastive estimation. It starts from the symbols' frequencies:
+    without draws it stays there."""
+    rng = np.random.default_rng(seed)
+    net = Network.start(unigram, rng)
+    sampler, s_all = Noise(unigram, noise, rng), triples[2]
     steps, step = max(1, epochs * -(-len(s_all) // batch)), 0
     for _ in range(epochs if len(s_all) else 0):
         order = rng.permutation(len(s_all))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            g, w, s = g_all[own], w_all[own], s_all[own]
-            other = np.minimum(np.searchsorted(ends, rng.random(noise) * ends[-1], side="right"), n - 1)
-            q = net.last[w] + net.group[g]
-            true = np.einsum("nd,nd->n", q, net.target[s]) + net.bias[s] - odds[s]
-            false = q @ net.target[other].T + net.bias[other] - odds[other]
-            dt = (-1 / (1 + np.exp(true.clip(-30, 30)))).astype(np.float32)  # of -log sigmoid(true)
-            df = (1 / (1 + np.exp(-false.clip(-30, 30)))).astype(np.float32)  # of -log sigmoid(-false)
-            dq = dt[:, None] * net.target[s] + df @ net.target[other]
-            symbols = np.concatenate([s, other])
-            dtarget = np.concatenate([dt[:, None] * q, df.T @ q])
-            scale = rate * min(1.0, 1.5 * (1 - step / steps))
-            move(net.target, symbols, dtarget, scale)
-            move(net.bias, symbols, np.concatenate([dt, df.sum(axis=0)]), scale * 0.5)
-            move(net.last, w, dq, scale)
-            move(net.group, g, dq, scale)
+            sampler.step(net, *(x[own] for x in triples), rate * min(1.0, 1.5 * (1 - step / steps)))
             step += 1
     return net
 
@@ -197,21 +233,49 @@ def _own_counts(blocked: DataFrame) -> DataFrame:
 
 
 def frequent(own: DataFrame, tokens: int, most_words: int, words_for: int) -> Symbols:
-    """The symbols, with the exact counts of frequent words. Words are chosen by their counts in blocks where they are more than a
-    few, so that the choice needs no sum over all words; the sums of those chosen are over all blocks."""
+    """The symbols, with the exact counts of frequent words, which are those of the largest sums over all blocks. Sums over the blocks
+    where a word is more than a few lack a known amount at most: words that may be among the largest by these are summed over all
+    blocks, or all words where the amount is too large to tell."""
     room = 1
     while room < most_words and 2 * room * words_for <= tokens:
         room *= 2
     blocks = own.agg(F.max("block")).first()[0]
     few = 0 if blocks is None else tokens // (64 * room * (blocks + 1))
-    often = own.where((F.col("n") > few) & (F.col("key") != END_KEY)).groupBy("key").agg(F.sum("n").alias("n"))
-    chosen = [r.key for r in often.orderBy(F.desc("n"), "key").limit(room - 1).collect()]
-    heads = own.sparkSession.createDataFrame([(k,) for k in [END_KEY, *chosen]], "key long")
+
+    def often(few: int) -> tuple[DataFrame, int, int]:
+        sums = materialise(own.where((F.col("n") > few) & (F.col("key") != END_KEY)).groupBy("key").agg(F.sum("n").alias("n")), "often")
+        return sums, *sums.orderBy(F.desc("n")).limit(room - 1).agg(F.count("*"), F.coalesce(F.min("n"), F.lit(0))).first()
+
+    lacking = few * (1 + (blocks or 0))
+    sums, found, least = often(few)
+    if few and (found < room - 1 or least <= lacking):
+        lacking, (sums, found, least) = 0, often(0)
+    near = [r.key for r in sums.where(F.col("n") >= least - lacking).collect()]
+    heads = own.sparkSession.createDataFrame([(k,) for k in [END_KEY, *near]], "key long")
     exact = {r.key: r.n for r in own.join(F.broadcast(heads), "key").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-    ordered = [END_KEY, *sorted(chosen, key=lambda k: (-exact[k], k))]
+    ordered = [END_KEY, *sorted(near, key=lambda k: (-exact[k], k))[: room - 1]]
     return Symbols(np.array(ordered, np.int64), np.array([exact.get(k, 0) for k in ordered], np.int64))
 
 
+def _codes(batches, of: Symbols, most: int):
+    """Lists of the codes of texts, of a little over `most` tokens each."""
+    index, known, held, size = Index(), np.zeros(0, np.int32), [], 0
+    for batch in batches:
+        for part in slices(batch, 0):
+            if len(index) > 400_000:
+                index, known = Index(), np.zeros(0, np.int32)
+            for ids in [index.of(words(data)) for data in raw(part.column(0))]:
+                if len(known) < len(index):
+                    known = np.concatenate([known, of.of(keys_of(list(index)[len(known) :]))])
+                held.append(of.codes(known[ids]))
+                size += len(ids)
+            if size > most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _triples(docs: DataFrame, symbols) -> DataFrame:
     """(code, n) of all triples in training texts."""
 
@@ -221,27 +285,15 @@ def _triples(docs: DataFrame, symbols) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + (1 << 18)]), pa.array(n[k : k + (1 << 18)])], names=["code", "n"])
 
     def run(batches):
-        of, index, known, held, size = symbols.value, Index(), np.zeros(0, np.int32), [], 0
-        for batch in batches:
-            for part in slices(batch, 0):
-                if len(index) > 400_000:
-                    index, known = Index(), np.zeros(0, np.int32)
-                for ids in [index.of(words(data)) for data in raw(part.column(0))]:
-                    if len(known) < len(index):
-                        known = np.concatenate([known, of.of(keys_of(list(index)[len(known) :]))])
-                    held.append(of.codes(known[ids]))
-                    size += len(ids)
-                if size > 1 << 22:
-                    yield from table(held)
-                    held, size = [], 0
-        if held:
+        for held in _codes(batches, symbols.value, 1 << 22):
             yield from table(held)
 
     return docs.where(~F.col("held_out")).select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def drawn(triples: DataFrame, tokens: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, how often): about `draws` draws from all triples in proportion to their counts; all triples where there are no more."""
+    """(codes, how often): about `draws` draws from all triples in proportion to their counts, for the start of the training; all triples
+    where there are no more."""
     share = min(1.0, draws / max(1, tokens))
     chance = F.pmod(F.xxhash64("code"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rows = triples.select("code", F.floor(F.col("n") * F.lit(share) + chance).cast("int").alias("k")).where("k > 0").toArrow()
@@ -250,6 +302,39 @@ def drawn(triples: DataFrame, tokens: int, draws: int) -> tuple[np.ndarray, np.n
     return codes[order], k[order]
 
 
+def passed(blocked: DataFrame, blocks: int, symbols, net: Network, unigram: np.ndarray, batch: int = 2048, noise: int = 64, rate: float = 0.12, seed: int = 11) -> Network:
+    """The network after every token of every training text has been learned once, a round's texts by all tasks beside each other."""
+    spark = blocked.sparkSession
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((net, unigram))
+        scale = rate * (1 - turn / ROUNDS)
+
+        def learn(batches, shared=shared, scale=scale, turn=turn):
+            own, unigram = shared.value
+            rng, tokens = np.random.default_rng([seed, turn, TaskContext.get().partitionId()]), 0
+            own, sampler = own.like(own.flat()), Noise(unigram, noise, rng)
+            for held in _codes(batches, symbols.value, 1 << 19):
+                codes = rng.permutation(np.concatenate(held))
+                for at in range(0, len(codes), batch):
+                    sampler.step(own, *symbols.value.split(codes[at : at + batch]), scale)
+                tokens += len(codes)
+            flat = own.flat() if tokens else np.zeros(0, np.float32)
+            for at in range(0, len(flat), PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([at // PIECE], pa.int32()), pa.array([tokens], pa.int64()), pa.array([flat[at : at + PIECE].tobytes()], pa.binary())], names=["piece", "n", "part"])
+
+        def mean(table: pa.Table) -> pa.Table:
+            n = table.column("n").to_numpy()
+            total = sum(np.frombuffer(x, np.float32).astype(np.float64) * k for x, k in zip(table.column("part").to_pylist(), n.tolist(), strict=True))
+            return pa.table({"piece": table.column("piece")[:1], "part": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+        made = blocked.where(~F.col("held_out") & (F.col("turn") == turn)).select("text").coalesce(max(TASKS, -(-blocks // BLOCKS_A_TASK))).mapInArrow(learn, "piece int, n long, part binary")
+        pieces = sorted(made.groupBy("piece").applyInArrow(mean, "piece int, part binary").collect(), key=lambda r: r.piece)
+        if pieces:
+            net = net.like(np.frombuffer(b"".join(r.part for r in pieces), np.float32))
+        shared.unpersist()
+    return net
+
+
 def _normalised(spark: SparkSession, net: Network, step: int = 64) -> Network:
     """The network with the normalisers of all contexts, which tasks make from batched matrix products."""
     n = len(net.last)
@@ -273,16 +358,17 @@ def score(
     spark = docs.sparkSession
     narrow = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text")).withColumn("held_out", crc_mod("doc_id", folds) == held_fold)
     blocked, blocks = with_block(narrow, "text", block_bytes, "block", BUCKETS)
+    blocked = blocked.withColumn("turn", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("turn")), F.lit(ROUNDS)).cast("byte"))
     # Buckets by block: the two reads below need the texts of a block together, and neither shuffles them again.
     name, buckets = f"blocks_{uuid.uuid4().hex}", min(blocks, BUCKETS)
     try:
         blocked.repartition(buckets, "block").write.bucketBy(buckets, "block").format("parquet").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-        return materialise(_scored(spark, spark.table(name), narrow, most_words, words_for, draws), "scores")
+        return materialise(_scored(spark, spark.table(name), blocks, narrow, most_words, words_for, draws), "scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _scored(spark: SparkSession, blocked: DataFrame, narrow: DataFrame, most_words: int, words_for: int, draws: int) -> DataFrame:
+def _scored(spark: SparkSession, blocked: DataFrame, blocks: int, narrow: DataFrame, most_words: int, words_for: int, draws: int) -> DataFrame:
     own = materialise(_own_counts(blocked), "own")
     n_all = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     symbols = frequent(own, n_all, most_words, words_for)
@@ -292,8 +378,12 @@ def _scored(spark: SparkSession, blocked: DataFrame, narrow: DataFrame, most_wor
     rare, v_rare = counted.where((F.col("block") == F.col("least")) & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     v_all = v_rare + int((symbols.counts > 0).sum())
     unigram = np.concatenate([symbols.counts, [rare]]) + 0.5
-    codes, k = drawn(_triples(narrow, spark.sparkContext.broadcast(symbols)), n_all, draws)
-    net = train(tuple(np.repeat(x, k) for x in symbols.split(codes)), unigram / unigram.sum())
+    unigram /= unigram.sum()
+    known = spark.sparkContext.broadcast(symbols)
+    codes, k = drawn(_triples(narrow, known), n_all, draws)
+    net = train(tuple(np.repeat(x, k) for x in symbols.split(codes)), unigram)
+    if n_all > draws:
+        net = passed(blocked, blocks, known, net, unigram)
     shared = spark.sparkContext.broadcast((symbols, _normalised(spark, net), float(np.log10(rare + 0.5 * (v_rare + 1)))))
     base = np.log10(n_all + 0.5 * (v_all + 1))
 

@@ -131,6 +131,29 @@ def test_draws_follow_the_counts(spark):
     assert len(codes) == 2000 and k.sum() == 101_999
 
 
+def test_every_text_is_learned_from_whatever_the_draws(spark, monkeypatch):
+    """With next to no draws for a start, the passes still learn what follows what, from each training token once."""
+    rows, learned = grammar(1500), []
+
+    def passed(blocked, *a, real=lm.passed):
+        own = blocked.where("not held_out").groupBy("turn").count().collect()
+        learned.extend(r["count"] for r in own if 0 <= r.turn < lm.ROUNDS)
+        return real(blocked, *a, batch=128)
+
+    monkeypatch.setattr(lm, "passed", passed)
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), words_for=512, block_bytes=100_000, draws=100).collect()
+    assert len(learned) == lm.ROUNDS and min(learned) > 200 and sum(learned) == sum(not h for _, h, _ in parts(rows))
+    held = [r for r in got if r.held_out]
+    assert (sum(r.score for r in held) - sum(r.base_score for r in held)) / sum(r.n_tokens for r in held) > 0.3
+
+
+def test_frequent_words_are_those_of_the_largest_sums(spark):
+    """Also where a word is seldom in each block, and others are frequent in one."""
+    rows = [(b, 1000, 9) for b in range(100)] + [(k, k, 500) for k in range(1, 4)] + [(b, lm.END_KEY, 1) for b in range(100)]
+    symbols = lm.frequent(spark.createDataFrame(rows, "block int, key long, n long"), 4 * 2048 * 200, 4, 2048)
+    assert symbols.heads[symbols.order.argsort()].tolist() == [lm.END_KEY, 1000, 1, 2] and symbols.counts.tolist() == [100, 900, 500, 500]
+
+
 def test_repeated_rows_are_dealt_into_many_blocks(spark):
     from tablegraft.llm import common
 
