@@ -39,7 +39,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the one with the smallest
-    id, rows without one last; repeated rows count as a group, as do all texts without words."""
+    id, rows without one last; repeated rows count as a group, as do all texts without words. Candidates are what operator 10 links of
+    the sets' SimHash fingerprints, and what shares a min-wise band beyond; whole sets decide."""
     return simhash.keep_verified(docs)
 
 

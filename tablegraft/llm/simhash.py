@@ -10,12 +10,13 @@ task and none is capped.
 
 Components come from alternating large-star and small-star rounds over the links, whose endpoints are fingerprints.
 
-Near copies at a given similarity need more: at 0.8 two texts differ in some nine of 64 bits, so no byte need be shared, and bits
-that count repeated shingles repeatedly aren't the similarity of sets. `verified` and `keep_verified` therefore take the bytes of
-the positional index from min-wise hashes of the sets of distinct shingles: BANDS x ROWS of them, posted under each band of ROWS,
-and SKETCH of them as positional bytes whose agreement is tallied. Pairs in a posting that share fewer bytes than `least_shared`
-are dropped by count, all others are decided by the Jaccard similarity of their whole sets. The search is statistical, the verdict
-isn't: at a similarity of 0.8 a pair has no band in common with a probability of 5e-5, at any length.
+Near copies at a given similarity (`verified` and `keep_verified`) go through the same index first: the SimHash fingerprints of their
+sets of distinct shingles are posted by positional bytes, counted and linked, and what they link is one posting. That isn't enough at
+0.8, where two texts differ in some nine of 64 bits, so that no byte need be shared. For pairs further apart there are postings of
+min-wise hashes of the sets: BANDS x ROWS of them, posted under each band of ROWS, and SKETCH of them as positional bytes whose
+agreement is tallied. Pairs in any posting that share fewer bytes than `least_shared` are dropped by count, all others are decided by
+the Jaccard similarity of their whole sets. The search is statistical, the verdict isn't: at a similarity of 0.8 a pair has no band in
+common with a probability of 5e-5, at any length.
 
 Postings hold ids; sets are made only of texts that share a posting. Each of these is first verified against two partners, the one
 it shares most bytes with and the one that all share most with, which joins large groups by few pairs. Pairs that this leaves in
@@ -233,6 +234,14 @@ def shingles(data: bytes, shingle: int = 5, part: int = 1 << 16) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(x.astype(np.uint64) for x in parts)]))
 
 
+def set_print(own: np.ndarray, part: int = 1 << 16) -> int:
+    """A bit is 1 if it is set in over half the hashes of a set; zero for none."""
+    if not len(own):
+        return 0
+    ones = sum(_ones(own[at : at + part].astype(">u8")) for at in range(0, len(own), part))
+    return int.from_bytes(np.packbits(ones * 2 > len(own)).tobytes(), "big")
+
+
 def sketch(own: np.ndarray, part: int = 1 << 11) -> tuple[bytes, bytes]:
     """Band keys of eight bytes each, and positional bytes, from the min-wise hashes of a set."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -391,37 +400,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tile: int = TILE, most_bytes: int = 16 << 20) -> DataFrame:
+def print_postings(distinct: DataFrame, bits: int = 4) -> DataFrame:
+    """(fp, band, key) of sets (fp, print): one posting, band BANDS, for the fingerprints that links of SimHash join."""
+    prints = materialise(distinct.select(F.col("print").alias("fp")).distinct(), "prints")
+    found = components(links(prints, bits))
+    return distinct.join(found, distinct.print == found.node, "left").select("fp", F.lit(BANDS).alias("band"), F.xxhash64(F.lit(BANDS), F.coalesce("root", "print")).alias("key"))
+
+
+def verified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, tile: int = TILE, most_bytes: int = 16 << 20, bits: int = 4, bands: int = BANDS) -> DataFrame:
     """(doc_id, body, fp, root): groups that links between texts of this Jaccard similarity of their shingle sets join; fp names a
-    set, root a group."""
+    set, root a group. With `bands` of 0 only texts whose fingerprints SimHash joins at `bits` are compared."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 2):
-                fps, keys, marks = [], [], []
+                fps, prints, keys, marks = [], [], [], []
                 for x in raw(part.column(2)):
                     own = shingles(x, shingle)
                     k, m = sketch(own)
                     fps.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    prints.append(set_print(own))
                     keys.append(k)
                     marks.append(m)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, prints)], pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=schema.names)
 
     def set_of(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x, shingle).tobytes() for x in raw(part.column(1))], pa.binary())], names=["fp", "own"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)]).add("body", "long").add("fp", "long").add("keys", "binary").add("mark", "binary")
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)]).add("body", "long").add("fp", "long").add("print", "long").add("keys", "binary").add("mark", "binary")
     bodies = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("body"), col(text).cast("string").alias("text"))
     marked = materialise(bodies.mapInArrow(run, schema), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("keys").alias("keys"), F.min("mark").alias("mark"), F.min("body").alias("body"))
+    distinct = marked.groupBy("fp").agg(F.min("keys").alias("keys"), F.min("mark").alias("mark"), F.min("body").alias("body"), F.min("print").alias("print"))
     distinct = materialise(distinct, "distinct")
-    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("keys", 8 * k + 1, 8)) for k in range(BANDS)])
-    postings_ = distinct.select("fp", F.posexplode(bands).alias("band", "key"))
+    postings_ = materialise(print_postings(distinct.select("fp", "print"), bits), "postings")
+    if bands:
+        keys_ = F.array(*[F.xxhash64(F.lit(k), F.substring("keys", 8 * k + 1, 8)) for k in range(bands)])
+        postings_ = postings_.unionByName(distinct.select("fp", F.posexplode(keys_).alias("band", "key")))
     sizes = postings_.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     posted = materialise(postings_.join(materialise(sizes, "sizes"), "key"), "postings")
-    members = materialise(distinct.join(posted.select("fp").distinct(), "fp"), "members")
+    members = materialise(distinct.drop("print").join(posted.select("fp").distinct(), "fp"), "members")
     texts = bloom(bodies.select("body", "text"), members.select("body"), "body").groupBy("body").agg(F.min("text").alias("text"))
     sets = materialise(texts.join(members.select("fp", "body"), "body").select("fp", "text").mapInArrow(set_of, "fp long, own binary"), "sets")
     least = least_shared(similarity)

@@ -268,3 +268,30 @@ def test_bloom_keeps_every_wanted_row(spark):
     assert len({r.id for r in common.bloom(rows, wanted, "h", 1 << 16).collect()} & set(range(0, 20000, 40))) == 500
     assert common.bloom(rows, wanted.where("false"), "h").count() == 0
     assert common.fresh(["a", "_X", "_x_y"], "_x", "A") == ["_x__", "A_"]
+
+
+def test_what_simhash_joins_is_found_without_other_postings(spark):
+    """The fingerprints of sets alone, by positional bytes and count, find copies that few shingles tell apart."""
+    rng, texts, want = random.Random(14), [], []
+    for _ in range(30):
+        own = [f"p{rng.randrange(10**9)}" for _ in range(400)]
+        texts += [" ".join(own), " ".join([*own[:-1], "q"])]
+        a, b = (simhash.set_print(simhash.shingles(x.encode())) for x in texts[-2:])
+        assert a == slow_set_print(texts[-2]) and b == slow_set_print(texts[-1])
+        want += [frozenset([len(texts) - 2, len(texts) - 1])] if (a ^ b).bit_count() <= 4 else [frozenset([len(texts) - 2]), frozenset([len(texts) - 1])]
+    assert 15 < sum(len(g) == 2 for g in want) and found_groups(spark, texts, bands=0) == set(want)
+    assert {frozenset([2 * k, 2 * k + 1]) for k in range(30)} == found_groups(spark, texts)
+
+
+def slow_set_print(text, k=5):
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingle_set(text, k)]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def test_the_pipeline_links_fingerprints_of_simhash(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    monkeypatch.setattr(simhash, "links", lambda df, bits, real=simhash.links: (asked.append((df.count(), bits)), real(df, bits))[1])
+    assert corpus_pipeline.drop_copies(spark, docs.where("length(text) < 6000"), "").count() > 0
+    assert len(asked) == 1 and asked[0][0] > 10 and asked[0][1] == 4
