@@ -257,12 +257,12 @@ def frequent(own: DataFrame, tokens: int, most_words: int, words_for: int) -> Sy
     return Symbols(np.array(ordered, np.int64), np.array([exact.get(k, 0) for k in ordered], np.int64))
 
 
-def _codes(batches, of: Symbols, most: int):
-    """Lists of the codes of texts, of a little over `most` tokens each."""
+def _codes(batches, of: Symbols, most: int, limit: int = 400_000):
+    """Lists of the codes of texts, of a little over `most` tokens each; known tokens are forgotten beyond `limit`."""
     index, known, held, size = Index(), np.zeros(0, np.int32), [], 0
     for batch in batches:
         for part in slices(batch, 0):
-            if len(index) > 400_000:
+            if len(index) > limit:
                 index, known = Index(), np.zeros(0, np.int32)
             for ids in [index.of(words(data)) for data in raw(part.column(0))]:
                 if len(known) < len(index):
@@ -313,7 +313,7 @@ def passed(blocked: DataFrame, blocks: int, symbols, net: Network, unigram: np.n
             own, unigram = shared.value
             rng, tokens = np.random.default_rng([seed, turn, TaskContext.get().partitionId()]), 0
             own, sampler = own.like(own.flat()), Noise(unigram, noise, rng)
-            for held in _codes(batches, symbols.value, 1 << 19):
+            for held in _codes(batches, symbols.value, 1 << 18, 100_000):
                 codes = rng.permutation(np.concatenate(held))
                 for at in range(0, len(codes), batch):
                     sampler.step(own, *symbols.value.split(codes[at : at + batch]), scale)
